@@ -18,9 +18,10 @@ from .sizes import bounded_side
 HEX_DIGITS = 3
 
 
-def seeded_key(seed: int | str, *parts: Column) -> Column:
+def seeded_key(seed: int | str | Column, *parts: Column) -> Column:
     """Hex key that orders rows at random but repeatably."""
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[p.cast("string") for p in parts]))
+    first = seed.cast("string") if isinstance(seed, Column) else F.lit(str(seed))
+    return F.md5(F.concat_ws(":", first, *[p.cast("string") for p in parts]))
 
 
 def key_number(key: Column) -> Column:
@@ -88,7 +89,7 @@ def hash_cutoffs(
     df: DataFrame,
     groups: Sequence[str],
     id_col: str,
-    seed: int | str,
+    seed: int | str | Column,
     take: Callable[[Column], Column],
     digits: int = HEX_DIGITS,
 ) -> DataFrame:
@@ -128,7 +129,7 @@ def hash_cutoffs(
     return totals.join(cuts, groups, "left")
 
 
-def before_cut(id_col: str, seed: int | str) -> Column:
+def before_cut(id_col: str, seed: int | str | Column) -> Column:
     """True for rows up to and including the cut of their group."""
     key = seeded_key(seed, F.col(id_col))
     return F.coalesce(

@@ -42,7 +42,9 @@ def seeded_sample(
     return _cut(usable, cuts, groups, id_col, seed).where("_inside").drop("_inside"), report
 
 
-def _cut(df: DataFrame, cuts: DataFrame, groups: Sequence[str], id_col: str, seed: int) -> DataFrame:
+def _cut(
+    df: DataFrame, cuts: DataFrame, groups: Sequence[str], id_col: str, seed: int | Column
+) -> DataFrame:
     names = df.columns
     limits = cuts.select(*groups, "cut_key", "cut_id")
     if groups:
@@ -97,27 +99,33 @@ def topic_dictionary(df: DataFrame, topic: str, order: str) -> DataFrame:
 
 
 def split_cuts(
-    samples: DataFrame, ratio: float, seed: int = 42, group: str = "topic", id_col: str = "sample_id"
+    samples: DataFrame, ratio: float, seed: int | Column = 42,
+    groups: Sequence[str] = ("topic",), id_col: str = "sample_id",
 ) -> DataFrame:
-    """Per group, the last of its int(n * ratio) training rows in seeded order."""
+    """Per group, the last of its int(n * ratio) training rows in seeded order.
+
+    A seed column among the groups makes one split per seed in the same job.
+    """
     return hash_cutoffs(
-        samples, [group], id_col, seed,
+        samples, groups, id_col, seed,
         lambda total: F.floor(total.cast("double") * F.lit(float(ratio))))
 
 
 def with_split(
-    df: DataFrame, cuts: DataFrame, seed: int = 42, group: str = "topic", id_col: str = "sample_id"
+    df: DataFrame, cuts: DataFrame, seed: int | Column = 42,
+    groups: Sequence[str] = ("topic",), id_col: str = "sample_id",
 ) -> DataFrame:
     """Add `split`. Any table with the id and group columns can be split."""
-    marked = _cut(df, cuts, [group], id_col, seed)
+    marked = _cut(df, cuts, groups, id_col, seed)
     return marked.withColumn(
         "split", F.when(F.col("_inside"), "train").otherwise("test")).drop("_inside")
 
 
 def stratified_split(
-    samples: DataFrame, ratio: float, seed: int = 42, group: str = "topic", id_col: str = "sample_id"
+    samples: DataFrame, ratio: float, seed: int | Column = 42,
+    groups: Sequence[str] = ("topic",), id_col: str = "sample_id",
 ) -> DataFrame:
-    return with_split(samples, split_cuts(samples, ratio, seed, group, id_col), seed, group, id_col)
+    return with_split(samples, split_cuts(samples, ratio, seed, groups, id_col), seed, groups, id_col)
 
 
 def labeled_set(df: DataFrame, topics: DataFrame, topic: str = "topic") -> DataFrame:

@@ -100,3 +100,59 @@ def dense_variance(name: str, first: str, people: str) -> None:
 
 dense_variance("all", "first_fire", "alive")
 dense_variance("tr", "first_fire", "train")
+
+cte("picks", ("first_fire", "tr_chosen"), """
+  SELECT f.*, c.rank FROM first_fire f JOIN tr_chosen c ON c.layer = f.layer AND c.feature_id = f.feature_id""")
+
+cte("nb_counts", ("picks", "train", "tr_chosen"), """
+  SELECT l.label AS cls, c.feature_id, c.rank, coalesce(k.n, 0) AS n_fired, l.n_label,
+    (SELECT count(*) FROM train) AS n
+  FROM (SELECT label, count(*) AS n_label FROM train GROUP BY label) l CROSS JOIN tr_chosen c
+  LEFT JOIN (SELECT label, feature_id, count(*) AS n FROM picks
+             WHERE sample_id IN (SELECT sample_id FROM train) GROUP BY label, feature_id) k
+    ON k.label = l.label AND k.feature_id = c.feature_id""")
+
+
+def bayes(name: str, counts: str, keys: str = "", alpha: str = "1.0::DOUBLE") -> None:
+    """Weights and bias of a smoothed Bernoulli model per `keys`."""
+    lead = f"{keys}, " if keys else ""
+    cte(f"{name}_w", (counts,), f"""
+      SELECT {lead}cls, feature_id, ln(p) - ln(1 - p) AS w, ln(1 - p) AS miss, ln(n_label::DOUBLE / n) AS prior
+      FROM (SELECT *, (n_fired + {alpha}) / (n_label + 2 * {alpha}) AS p FROM {counts})""")
+    cte(f"{name}_b", (f"{name}_w",), f"""
+      SELECT {lead}cls, max(prior) + sum(miss) AS b FROM {name}_w GROUP BY {lead}cls""")
+
+
+def decisions(name: str, scores: str, keys: str) -> None:
+    """Class, confidence and probability of the true class from class scores."""
+    cte(name, (scores,), f"""
+      SELECT {keys}, CAST(min(cls) FILTER (round(score, 9) = round(m, 9)) AS INTEGER) AS pred,
+        round(1 / sum(exp(score - m)), 9) AS confidence,
+        round(sum(exp(score - m)) FILTER (cls = label) / sum(exp(score - m)), 9) AS p_true
+      FROM (SELECT *, max(score) OVER (PARTITION BY {keys}) AS m FROM {scores})
+      GROUP BY {keys}""")
+
+
+bayes("nb", "nb_counts")
+
+cte("pred_scores", ("test", "nb_w", "nb_b", "picks"), """
+  SELECT s.sample_id, s.label, b.cls, max(b.b) + coalesce(sum(w.w), 0) AS score
+  FROM test s CROSS JOIN nb_b b
+  LEFT JOIN picks p ON p.sample_id = s.sample_id
+  LEFT JOIN nb_w w ON w.cls = b.cls AND w.feature_id = p.feature_id
+  GROUP BY s.sample_id, s.label, b.cls""")
+decisions("pred", "pred_scores", "sample_id, label")
+
+
+def curve(name: str, grid: str, seen: str) -> None:
+    cte(f"{name}_scores", ("test", "nb_w", "nb_b", "picks"), f"""
+      SELECT s.sample_id, s.label, g.t::INTEGER AS t, b.cls, max(b.b) + coalesce(sum(w.w), 0) AS score
+      FROM test s CROSS JOIN {grid} g(t) CROSS JOIN nb_b b
+      LEFT JOIN picks p ON p.sample_id = s.sample_id AND p.first_step {seen} g.t
+      LEFT JOIN nb_w w ON w.cls = b.cls AND w.feature_id = p.feature_id
+      GROUP BY s.sample_id, s.label, g.t, b.cls""")
+    decisions(name, f"{name}_scores", "sample_id, label, t")
+
+
+curve("curve", "range(1, 9)", "<")
+curve("steps_curve", "range(0, 8)", "<=")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import activations as acts
 from ..operators import discover as dis
 from ..operators import encode as enc
+from ..operators.corpus import with_split
 from . import fixtures as fx
 from .catalog import query
 from .oracle import with_ctes
@@ -80,8 +81,7 @@ def a04(spark, sf_dir):
   FROM hidden JOIN split USING (sample_id) GROUP BY split, layer"""))
 def a05(spark, sf_dir):
     s = Study(spark, sf_dir)
-    from ..operators.corpus import with_split
-    rows = with_split(fx.activations(spark, sf_dir).select("sample_id", "label", "layer", "h"), s.cuts, group="label")
+    rows = with_split(fx.activations(spark, sf_dir).select("sample_id", "label", "layer", "h"), s.cuts, groups=["label"])
     return acts.stored_bytes(rows, 2, ["split", "layer"])
 
 
@@ -180,12 +180,11 @@ def f08(spark, sf_dir):
   GROUP BY s.sample_id, s.split, s.label"""))
 def f09(spark, sf_dir):
     """0/1 columns of the chosen features; named by rank so both sides agree."""
-    from ..operators.corpus import with_split
     s = Study(spark, sf_dir)
     ids = dis.feature_ids_in_order(s.chosen)
     wide = dis.feature_table(s.first, s.alive, s.chosen, ids)
     renamed = wide.toDF("sample_id", *[f"rank_{i + 1}" for i in range(len(ids))], "label")
-    return with_split(renamed, s.cuts, group="label")
+    return with_split(renamed, s.cuts, groups=["label"])
 
 
 @query("f10_feature_prefix", with_ctes("first_fire tr_chosen", """

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sizes import bounded_side
-from ..operators import corpus, discover
+from ..operators import corpus, discover, linear, temporal
 from ..operators.encode import JUMPRELU, TOPK, encode
 from ..session import stage
 from . import fixtures as fx
@@ -51,10 +51,10 @@ class Study:
 
     @cached_property
     def cuts(self) -> DataFrame:
-        return bounded_side(corpus.split_cuts(self.alive, RATIO, SEED, "label"))
+        return bounded_side(corpus.split_cuts(self.alive, RATIO, SEED, ["label"]))
 
     def part(self, df: DataFrame, split: str) -> DataFrame:
-        return corpus.with_split(df, self.cuts, SEED, "label").where(F.col("split") == split).drop("split")
+        return corpus.with_split(df, self.cuts, SEED, ["label"]).where(F.col("split") == split).drop("split")
 
     @cached_property
     def train(self) -> DataFrame:
@@ -77,3 +77,36 @@ class Study:
         """The best layer's K features on the training split."""
         return stage(discover.discover(
             self.train_first, self.train, K, fx.D_SAE, layers=fx.layer_frame(self.spark)))
+
+    @cached_property
+    def ids(self) -> list[int]:
+        return discover.feature_ids_in_order(self.chosen)
+
+    @cached_property
+    def layer(self) -> int:
+        return self.chosen.first()["layer"]
+
+    @cached_property
+    def classes(self) -> list[int]:
+        return linear.class_list(self.samples)
+
+    def picks(self, first: DataFrame) -> DataFrame:
+        """Firings of the chosen features."""
+        return linear.restrict(first, self.layer, self.ids)
+
+    @cached_property
+    def counts(self) -> DataFrame:
+        return linear.bernoulli_counts(self.picks(self.train_first), self.train, self.ids)
+
+    @cached_property
+    def weights(self) -> DataFrame:
+        return linear.as_arrays(linear.bernoulli_weights(self.counts))
+
+    @cached_property
+    def predictions(self) -> DataFrame:
+        fires = linear.with_bias(self.picks(self.test_first), self.test)
+        return linear.score(fires, self.weights, self.classes)
+
+    def curve(self, grid, inclusive: bool = False) -> DataFrame:
+        return temporal.confidence_curve(
+            self.picks(self.test_first), self.test, self.weights, self.classes, grid, inclusive)
