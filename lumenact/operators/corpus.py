@@ -147,7 +147,7 @@ def dead_report(samples: DataFrame, activations: DataFrame, layer: int, keys: Se
 
 
 def _alive(activations: DataFrame, layer: int) -> DataFrame:
-    return activations.where(F.col("layer") == layer).groupBy("sample_id").agg()
+    return activations.where(F.col("layer") == layer).select("sample_id").distinct()
 
 
 def sample_stats(samples: DataFrame, activations: DataFrame, topics: DataFrame, layer: int) -> DataFrame:

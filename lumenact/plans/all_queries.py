@@ -1,4 +1,4 @@
 """Importing this module fills the catalogue."""
 
-from . import q_classify, q_features, q_temporal  # noqa: F401
+from . import q_classify, q_corpus, q_features, q_prompts, q_temporal  # noqa: F401
 from .catalog import ORACLES, QUERIES  # noqa: F401

@@ -89,3 +89,102 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").alias("sample_id"), F.col("lang").alias("topic"),
         F.col("source").alias("subtopic"), F.col("text").alias("prompt"),
         F.when(F.col("n_chars") < SHORT_TEXT, "bad_item").otherwise("ok").alias("_status"))
+
+
+# Replies of an imagined model, written in the SQL both engines share. The
+# digest of an id picks how an item or a whole batch goes wrong.
+BATCH = 8
+_BS = "chr(92)"
+
+
+def _esc(text: str) -> str:
+    out = text
+    for find, put in ((_BS, f"{_BS} || {_BS}"), ("'\"'", f"{_BS} || '\"'"), ("chr(10)", f"{_BS} || 'n'"),
+                      ("chr(13)", f"{_BS} || 'r'"), ("chr(9)", f"{_BS} || 't'")):
+        out = f"replace({out}, {find}, {put})"
+    return out
+
+
+def _pick(text: str) -> str:
+    return f"instr('0123456789abcdef', substr(md5({text}), 1, 1))"
+
+
+ITEMS_SQL = f"""
+  SELECT *, CASE k
+      WHEN 1 THEN '{{"prompt": 7, "adversarial_level": 1}}'
+      WHEN 2 THEN '{{"prompt": "  ' || {_BS} || 'n ", "adversarial_level": 1}}'
+      WHEN 3 THEN '"' || {_esc('text')} || '"'
+      WHEN 4 THEN 'null'
+      ELSE '{{"prompt": "  ' || {_esc('text')} || ' ' || {_BS} || 'n", "adversarial_level": '
+        || CASE k WHEN 5 THEN '2.7' WHEN 6 THEN '"3"' WHEN 7 THEN 'true' WHEN 9 THEN 'null'
+             ELSE cast(target AS VARCHAR(9)) END
+        || ', "surface_topic": "' || CASE k WHEN 8 THEN '  ' ELSE ' about ' || source || ' ' END || '"}}'
+      END AS item
+  FROM (
+    SELECT doc_id, cast(floor(doc_id / {BATCH}.0) AS BIGINT) AS batch, cast(doc_id % {BATCH} AS INTEGER) AS pos,
+      lang, source, text, cast(doc_id % 5 AS INTEGER) AS target,
+      {_pick("cast(doc_id AS VARCHAR(20))")} AS k,
+      {_pick(f"'b' || cast(cast(floor(doc_id / {BATCH}.0) AS BIGINT) AS VARCHAR(20))")} AS b
+    FROM DOCUMENTS_TABLE) d"""
+
+REPLIES_SQL = f"""
+  SELECT batch, b, CASE b
+      WHEN 1 THEN 'Here you are: ' || arr || ' as asked.'
+      WHEN 2 THEN '<prompts>' || arr || ' done </prompts>'
+      WHEN 4 THEN '<PROMPTS>[{{"prompt": "x"</PROMPTS>'
+      WHEN 5 THEN '  '
+      WHEN 6 THEN '<PROMPTS>{{"prompt": "x"}}</PROMPTS>'
+      WHEN 7 THEN 'I cannot do that.'
+      WHEN 9 THEN '<PROMPTS> </PROMPTS>'
+      WHEN 14 THEN '[{{"prompt": x}}]'
+      ELSE 'Sure.' || chr(10) || '<PROMPTS>' || chr(10) || arr || chr(10) || '</PROMPTS>' || ' ' END AS reply
+  FROM (
+    SELECT batch, max(b) AS b, '[' || coalesce(LISTED_ITEMS, '') || ']' AS arr
+    FROM (SELECT i.*, max(pos) OVER (PARTITION BY batch) AS last_pos FROM ({ITEMS_SQL}) i) i
+    GROUP BY batch) r"""
+
+_TEXT = '{"type": "output_text", "text": "'
+RESPONSES_SQL = f"""
+  SELECT batch AS batch_index, CASE WHEN b = 11 THEN reply ELSE ' ' END AS output_text,
+    CASE WHEN b = 8 THEN NULL ELSE '{{"output": [' ||
+      CASE WHEN b = 13 THEN '' ELSE '{{"type": "reasoning", "summary": [{{"text": " thought '
+        || cast(batch AS VARCHAR(20)) || '"}}, {{"text": " "}}, 7, {{"text": "done"}}]}}, ' END ||
+      CASE b WHEN 10 THEN '{{"type": "message", "content": "' || {_esc('reply')} || '"}}'
+        WHEN 11 THEN '{{"type": "message", "content": "not this"}}'
+        WHEN 12 THEN '{{"type": "message", "content": [{_TEXT}Sure. "}}, {_TEXT}'
+          || {_esc("substr(reply, 7)")} || '"}}, {{"text": 5}}]}}'
+        ELSE '{{"type": "message", "content": [{_TEXT}' || {_esc('reply')} || '"}}]}}' END
+      || ', "other"]}}' END AS response
+  FROM ({REPLIES_SQL}) q"""
+
+SPARK_LISTED = ("listagg(CASE WHEN b = 3 AND pos = last_pos THEN NULL ELSE item END, ', ') "
+                "WITHIN GROUP (ORDER BY pos)")
+DUCK_LISTED = "string_agg(CASE WHEN b = 3 AND pos = last_pos THEN NULL ELSE item END, ', ' ORDER BY pos)"
+
+
+def _over_documents(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    table(spark, sf_dir, "documents").createOrReplaceTempView("lumenact_documents")
+    return spark.sql(sql.replace("DOCUMENTS_TABLE", "lumenact_documents").replace("LISTED_ITEMS", SPARK_LISTED))
+
+
+def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(batch_index, output_text, response): one model reply per eight documents."""
+    return _over_documents(spark, sf_dir, RESPONSES_SQL)
+
+
+def reply_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The specs the replies answer."""
+    return _over_documents(spark, sf_dir, ITEMS_SQL).select(
+        "doc_id", F.col("batch").alias("batch_index"), "pos", F.col("source").alias("subtopic"),
+        F.col("lang").alias("topic"), F.col("target").alias("target_adversarial_level"))
+
+
+def doc_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages as topics, their sources as subtopics: (subtopic, topic, description, ord, n_docs)."""
+    return (
+        table(spark, sf_dir, "documents").groupBy("lang", "source")
+        .agg(F.min("doc_id").alias("ord"), F.count(F.lit(1)).alias("n_docs"), F.max("n_chars").alias("_m"))
+        .select(F.concat_ws("/", "lang", "source").alias("subtopic"), F.col("lang").alias("topic"),
+                F.concat(F.lit("texts of up to "), F.col("_m").cast("string"), F.lit(" characters")).alias("description"),
+                "ord", "n_docs")
+    )
