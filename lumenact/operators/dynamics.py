@@ -78,6 +78,6 @@ def topic_crossing(summary: DataFrame, targets: Sequence[float], max_steps: int)
     return (
         topics.select("label", "t", "mean_confidence", goals)
         .groupBy("label", "target")
-        .agg(F.coalesce(F.min(F.when(F.round("mean_confidence", 9) >= F.col("target"), F.col("t"))),
+        .agg(F.coalesce(F.min(F.when(F.round("mean_confidence", 7) >= F.col("target"), F.col("t"))),
                         F.lit(max_steps)).alias("step"))
     )

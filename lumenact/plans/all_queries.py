@@ -1,4 +1,6 @@
 """Importing this module fills the catalogue."""
 
-from . import q_classify, q_corpus, q_features, q_prompts, q_temporal  # noqa: F401
+from . import (  # noqa: F401
+    q_classify, q_corpus, q_features, q_models, q_prompts, q_streams, q_temporal,
+)
 from .catalog import ORACLES, QUERIES  # noqa: F401

@@ -85,7 +85,11 @@ def layer_frame(spark: SparkSession) -> DataFrame:
 
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prompt records: one per document, topic = language, subtopic = source."""
-    return table(spark, sf_dir, "documents").select(
+    return prompts_from(table(spark, sf_dir, "documents"))
+
+
+def prompts_from(documents: DataFrame) -> DataFrame:
+    return documents.select(
         F.col("doc_id").alias("sample_id"), F.col("lang").alias("topic"),
         F.col("source").alias("subtopic"), F.col("text").alias("prompt"),
         F.when(F.col("n_chars") < SHORT_TEXT, "bad_item").otherwise("ok").alias("_status"))

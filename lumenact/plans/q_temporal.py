@@ -21,11 +21,11 @@ GRID = list(range(1, fx.MAX_STEPS + 1))
 SNAPSHOTS = tmp.snapshot_grid(2, fx.MAX_STEPS)
 TARGETS = (0.2, 0.3, 0.5, 0.9, 0.95, 0.99)
 MIN_STEPS = 2
-LOCKIN_LEVEL = 0.3
+LOCKIN_LEVEL = 0.2
 
 
-def _round(df, *names):
-    return df.select(*[F.round(c, 9).alias(c) if c in names else c for c in df.columns])
+def _round(df, *names, digits=9):
+    return df.select(*[F.round(c, digits).alias(c) if c in names else c for c in df.columns])
 
 
 @query("d01_evaluation_grid", with_ctes("samples", """
@@ -68,12 +68,12 @@ def d04(spark, sf_dir):
 
 
 @query("d05_confidence_curve", with_ctes("curve", """
-  SELECT t, round(avg((pred = label)::INTEGER), 9) AS accuracy, round(avg(confidence), 9) AS mean_confidence,
-    round(quantile_cont(confidence, 0.5), 9) AS median_confidence
+  SELECT t, round(avg((pred = label)::INTEGER), 7) AS accuracy, round(avg(confidence), 7) AS mean_confidence,
+    round(quantile_cont(confidence, 0.5), 7) AS median_confidence
   FROM curve WHERE t <= 200 OR t % 40 = 0 GROUP BY t"""))
 def d05(spark, sf_dir):
     curve = stage(Study(spark, sf_dir).curve(GRID))
-    return _round(tmp.curve_summary(curve), "accuracy", "mean_confidence", "median_confidence")
+    return _round(tmp.curve_summary(curve), "accuracy", "mean_confidence", "median_confidence", digits=7)
 
 
 cte("stops", ("curve",), """
@@ -219,7 +219,7 @@ cte("snap_scores", ("test_every", "snap_w", "snap_b", "picks"), """
   GROUP BY s.sample_id, s.label, b.t, b.cls""")
 decisions("snap_pred", "snap_scores", "sample_id, label, t")
 cte("snap_summary", ("snap_pred",), """
-  SELECT t, label, round(avg((pred = label)::INTEGER), 9) AS accuracy, round(avg(confidence), 9) AS mean_confidence
+  SELECT t, label, round(avg((pred = label)::INTEGER), 7) AS accuracy, round(avg(confidence), 7) AS mean_confidence
   FROM snap_pred GROUP BY GROUPING SETS ((t), (t, label))""")
 
 
@@ -230,7 +230,8 @@ def d14(spark, sf_dir):
 
 @query("d15_snapshot_accuracy", with_ctes("snap_summary", "SELECT * FROM snap_summary"))
 def d15(spark, sf_dir):
-    return _round(dyn.snapshot_summary(Snapshots(spark, sf_dir).predictions_by_step()), "accuracy", "mean_confidence")
+    return _round(dyn.snapshot_summary(Snapshots(spark, sf_dir).predictions_by_step()), "accuracy", "mean_confidence",
+                  digits=7)
 
 
 @query("d16_topic_crossing", with_ctes("snap_summary", """
@@ -295,14 +296,14 @@ def _analysed(s: Study):
 
 
 @query("d19_topic_confidence", with_ctes("steps_curve coverage", """
-  SELECT label, t, round(avg(p_true), 9) AS mean_p_true
+  SELECT label, t, round(avg(p_true), 7) AS mean_p_true
   FROM steps_curve WHERE t IN (SELECT step FROM coverage) GROUP BY label, t"""))
 def d19(spark, sf_dir):
-    return _round(lock.topic_confidence(_analysed(Study(spark, sf_dir))), "mean_p_true")
+    return _round(lock.topic_confidence(_analysed(Study(spark, sf_dir))), "mean_p_true", digits=7)
 
 
 cte("lockin", ("steps_curve", "coverage"), """
-  SELECT sample_id, label, CAST(coalesce(min(t) FILTER (p_true >= 0.3::DOUBLE), -1) AS INTEGER) AS lockin
+  SELECT sample_id, label, CAST(coalesce(min(t) FILTER (p_true >= 0.2::DOUBLE), -1) AS INTEGER) AS lockin
   FROM steps_curve WHERE t IN (SELECT step FROM coverage) GROUP BY sample_id, label""")
 cte("lockin_summary", ("lockin",), """
   SELECT label, quantile_cont(lockin, 0.5) FILTER (lockin >= 0)::DOUBLE AS median,

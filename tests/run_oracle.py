@@ -23,7 +23,7 @@ def main() -> None:
             if sql is None:
                 verdict = f"rows only: {df.count()}"
             else:
-                verdict = compare(df, sql, con) or f"equal ({len(df.collect()) if len(args) else 'ok'})"
+                verdict = compare(df, sql, con) or "equal"
         except Exception as error:  # report and go on with the next query
             verdict = f"ERROR {type(error).__name__}: {str(error)[:1500]}"
         bad += not verdict.startswith(("equal", "rows only"))
