@@ -107,9 +107,13 @@ def discover(
     chosen = top_features(variance, k)
     if layer is not None:
         return chosen
-    scores = chosen.groupBy("layer").agg(
-        (F.sum("variance") / F.lit(float(min(k, d_sae)))).alias("score"))
-    return chosen.join(F.broadcast(best_layer(scores).select("layer")), "layer", "left_semi")
+    # k rows per layer are left: rank the layers by the mean over those.
+    score = F.sum("variance").over(Window.partitionBy("layer")) / F.lit(float(min(k, d_sae)))
+    order = Window.partitionBy().orderBy(F.round("_score", RANK_DIGITS).desc(), "layer")
+    return (
+        chosen.withColumn("_score", score).withColumn("_place", F.rank().over(order))
+        .where(F.col("_place") == 1).drop("_score", "_place")
+    )
 
 
 def variance_summary(

@@ -13,6 +13,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -84,16 +85,17 @@ def layer_sizes(weights: DataFrame) -> list:
     )
 
 
-def _collect_tile(weights: DataFrame, layer: int, low: int, high: int, b_dec, dtype):
-    rows = (
-        weights.where((F.col("layer") == layer) & F.col("feature_id").between(low, high))
-        .select("feature_id", "w", "b_enc", "threshold").toArrow().sort_by("feature_id")
-    )
-    width = len(rows["w"][0]) if rows.num_rows else 0
+def _pull(weights: DataFrame) -> pa.Table:
+    return weights.select("layer", "feature_id", "w", "b_enc", "threshold").toArrow()
+
+
+def _tile_values(rows: pa.Table, b_dec, dtype) -> dict:
+    rows = rows.sort_by("feature_id")
     flat = rows["w"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    w = flat.reshape(rows.num_rows, -1)
     return {
         "ids": rows["feature_id"].to_numpy().astype(np.int32),
-        "w": np.ascontiguousarray(flat.reshape(rows.num_rows, width).T.astype(dtype)),
+        "w": np.ascontiguousarray(w.T.astype(dtype)),
         "b_enc": rows["b_enc"].to_numpy().astype(dtype),
         "threshold": rows["threshold"].to_numpy().astype(dtype),
         "b_dec": b_dec,
@@ -128,9 +130,13 @@ def encode(
         raise ValueError("no weights for the requested layers")
     biases = {}
     if kind == JUMPRELU and bias is not None:
-        wanted = [s["layer"] for s in sizes]
         biases = {r["layer"]: np.array(r["b_dec"], dtype=dtype)
-                  for r in bias.where(F.col("layer").isin(wanted)).collect()}
+                  for r in bias.where(F.col("layer").isin([s["layer"] for s in sizes])).collect()}
+
+    # Small weights of several layers come in one go, large ones tile by tile.
+    total_bytes = sum(s["n"] * s["d_max"] * dtype.itemsize for s in sizes)
+    wanted = [s["layer"] for s in sizes]
+    whole = _pull(weights.where(F.col("layer").isin(wanted))) if total_bytes <= max_tile_bytes else None
 
     fields = [activations.schema[c] for c in carry]
     fired_field = T.StructField("fired", T.ArrayType(T.IntegerType()))
@@ -146,9 +152,15 @@ def encode(
         schema = T.StructType([*fields, fired_field, *([score_field] if merge_scores else [])])
         tiles = []
         for low in starts:
-            tile = spark.sparkContext.broadcast(_collect_tile(
-                weights, size["layer"], low, min(low + per_tile - 1, size["high"]),
-                biases.get(size["layer"]), dtype))
+            high = min(low + per_tile - 1, size["high"])
+            if whole is not None:
+                part = whole.filter(pc.equal(whole["layer"], size["layer"]))
+            else:
+                part = _pull(weights.where(
+                    (F.col("layer") == size["layer"]) & F.col("feature_id").between(low, high)))
+            if part.num_rows == 0:
+                continue
+            tile = spark.sparkContext.broadcast(_tile_values(part, biases.get(size["layer"]), dtype))
             tiles.append(rows.mapInArrow(_tile_encoder(tile, kind, k, merge_scores, carry), schema))
         parts.append(_merge_tiles(tiles, carry, k if kind == TOPK else None))
     return _union(parts)

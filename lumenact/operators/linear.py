@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.sizes import bounded_side
 from ..functions.stats import first_argmax, rounded, softmax
 
 BIAS = -1
@@ -129,9 +128,11 @@ def score(
     """Predictions (sample_id, label, keys, pred, confidence, p_true).
 
     `fires` comes from `with_bias`. Columns `on` must match between firings
-    and weights; `keys` are all columns that tell models apart.
+    and weights; `keys` are all columns that tell models apart. The weights
+    are broadcast: a row per chosen feature and model, and the chosen features
+    are a checked list (`feature_ids_in_order`).
     """
     group = ["sample_id", "label", *dict.fromkeys([*on, *keys])]
     sums = [F.sum(F.get("w", F.lit(i))).alias(f"_c{i}") for i in range(len(classes))]
-    totals = fires.join(bounded_side(weights), [*on, "feature_id"]).groupBy(*group).agg(*sums)
+    totals = fires.join(F.broadcast(weights), [*on, "feature_id"]).groupBy(*group).agg(*sums)
     return decide(totals, F.array(*[F.col(f"_c{i}") for i in range(len(classes))]), classes, group)

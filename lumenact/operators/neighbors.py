@@ -41,14 +41,14 @@ def _nearest_in_block(k: int):
         names = ["sample_id", "distance", "neighbor_id", "neighbor_label"]
         if queries.empty or rows.empty:
             return pd.DataFrame(columns=names)
-        rows = rows.sort_values("sample_id")
-        ids, labels = rows["sample_id"].to_numpy(), rows["label"].to_numpy()
-        train = np.stack(rows["bits"].to_numpy())
+        rows = rows.sort_values("neighbor_id")
+        ids, labels = rows["neighbor_id"].to_numpy(), rows["neighbor_label"].to_numpy()
+        train = np.stack(rows["neighbor_bits"].to_numpy())
         parts = []
         keep = min(k, len(rows))
         for start in range(0, len(queries), CHUNK):
             part = queries.iloc[start:start + CHUNK]
-            bits = np.stack(part["bits"].to_numpy())
+            bits = np.stack(part["query_bits"].to_numpy())
             distance = np.zeros((len(part), len(rows)), dtype=np.int64)
             for word in range(train.shape[1]):
                 distance += np.bitwise_count(bits[:, word, None] ^ train[None, :, word])
@@ -57,7 +57,7 @@ def _nearest_in_block(k: int):
             best = np.argpartition(order, keep - 1, axis=1)[:, :keep]
             where = np.arange(len(part))[:, None]
             parts.append(pd.DataFrame({
-                "sample_id": np.repeat(part["sample_id"].to_numpy(), keep),
+                "sample_id": np.repeat(part["query_id"].to_numpy(), keep),
                 "distance": distance[where, best].ravel().astype(np.int32),
                 "neighbor_id": ids[best].ravel(),
                 "neighbor_label": labels[best].ravel(),
@@ -78,11 +78,13 @@ def nearest_neighbors(
     n_test, n_train = test.count(), train.count()
     n_left = max(-(-n_test // block_rows), min(parallelism, -(-n_test // CHUNK)), 1)
     n_right = max(-(-n_train // block_rows), 1)
+    # Fresh names on both sides: they may stem from one and the same table.
     left = test.select(
-        "sample_id", "bits", F.pmod(F.xxhash64("sample_id"), F.lit(n_left)).alias("_left"),
+        F.col("sample_id").alias("query_id"), F.col("bits").alias("query_bits"), F.pmod(F.xxhash64("sample_id"), F.lit(n_left)).alias("_left"),
         F.explode(F.sequence(F.lit(0), F.lit(n_right - 1))).alias("_right"))
     right = train.select(
-        "sample_id", "label", "bits", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_left - 1).cast("long"))).alias("_left"),
+        F.col("sample_id").alias("neighbor_id"), F.col("label").alias("neighbor_label"),
+        F.col("bits").alias("neighbor_bits"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_left - 1).cast("long"))).alias("_left"),
         F.pmod(F.xxhash64("sample_id"), F.lit(n_right)).cast("int").alias("_right"))
     schema = "sample_id long, distance int, neighbor_id long, neighbor_label int"
     near = left.groupBy("_left", "_right").cogroup(right.groupBy("_left", "_right")).applyInPandas(

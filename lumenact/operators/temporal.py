@@ -72,7 +72,7 @@ def confidence_curve(
         "sample_id", "label", F.lit(BIAS).alias("feature_id"), F.lit(int(grid[0])).alias("t"))
     added = (
         fires.where(F.col("t").isNotNull()).unionByName(bias)
-        .join(bounded_side(weights), "feature_id").select(*columns)
+        .join(F.broadcast(weights), "feature_id").select(*columns)
     )
     points = samples.select("sample_id", "label", F.explode(_literal(grid)).alias("t"))
     rows = added.withColumn("_point", F.lit(False)).unionByName(

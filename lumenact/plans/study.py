@@ -84,7 +84,7 @@ class Study:
 
     @cached_property
     def layer(self) -> int:
-        return self.chosen.first()["layer"]
+        return self.chosen.select("layer").first()[0]
 
     @cached_property
     def classes(self) -> list[int]:
