@@ -92,13 +92,14 @@ def hash_cutoffs(
     seed: int | str | Column,
     take: Callable[[Column], Column],
     digits: int = HEX_DIGITS,
+    totals: bool = False,
 ) -> DataFrame:
     """Last key of the first `take(count)` rows of each group, in seeded order.
 
     Reads only the group and id columns. Rows are counted per bucket, and only
     the one bucket of each group that holds the cut is sorted. The result has
-    one row per group: (groups, total, taken, cut_key, cut_id), the last two
-    null where nothing is taken.
+    one row per group of which something is taken: (groups, cut_key, cut_id);
+    with `totals`, one row per group with total and taken as well.
     """
     groups = list(groups)
     key = seeded_key(seed, F.col(id_col))
@@ -122,11 +123,13 @@ def hash_cutoffs(
         .where(F.col("_rn") == F.col("_nth"))
         .select(*groups, F.col("_key").alias("cut_key"), F.col("_id").alias("cut_id"))
     )
-    totals = counts.groupBy(*groups).agg(F.max("total").alias("total"), F.max("taken").alias("taken"))
+    if not totals:
+        return cuts
+    sizes = counts.groupBy(*groups).agg(F.max("total").alias("total"), F.max("taken").alias("taken"))
     if not groups:
-        return totals.withColumn("_one", F.lit(1)).join(
+        return sizes.withColumn("_one", F.lit(1)).join(
             cuts.withColumn("_one", F.lit(1)), "_one", "left").drop("_one")
-    return totals.join(cuts, groups, "left")
+    return sizes.join(cuts, groups, "left")
 
 
 def before_cut(id_col: str, seed: int | str | Column) -> Column:

@@ -1,4 +1,4 @@
-"""Size-checked broadcasting."""
+"""Size-checked small tables."""
 
 from __future__ import annotations
 
@@ -8,14 +8,29 @@ from pyspark.sql import functions as F
 MAX_BROADCAST_ROWS = 200_000
 
 
+def _small(df: DataFrame, max_rows: int) -> DataFrame | None:
+    """`df` as a table of literal rows, or None when it has more than `max_rows`."""
+    rows = df.limit(max_rows + 1).toArrow()
+    if rows.num_rows > max_rows:
+        return None
+    return df.sparkSession.createDataFrame(rows, df.schema)
+
+
 def bounded_side(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Mark `df` for broadcast if it is counted to be small enough.
+    """Mark `df` for broadcast if it proves to be small enough.
 
-    The rows are kept so that the count and the join share one computation.
-    Beyond the bound the frame is returned unmarked and the join shuffles,
-    with adaptive skew handling.
+    A broadcast brings its rows to the driver anyway; fetching at most
+    `max_rows` of them first both proves the bound and saves computing the
+    table again. Beyond the bound the frame is returned as it is, and the join
+    shuffles, with adaptive skew handling.
     """
-    kept = df.persist()
-    if kept.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(kept)
-    return kept
+    small = _small(df, max_rows)
+    return df if small is None else F.broadcast(small)
+
+
+def small_table(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """A table that must be small, computed once."""
+    small = _small(df, max_rows)
+    if small is None:
+        raise ValueError(f"expected at most {max_rows} rows")
+    return small

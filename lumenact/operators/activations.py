@@ -26,8 +26,9 @@ def select_capture(
 
     `kind` tells prompt positions ("prefill") from generated steps ("decode").
     Of the prompt only the last position is ever kept, and it comes first.
-    With `contiguous` the decode steps already run from 0 and are only shifted;
-    otherwise they are ranked.
+    With `contiguous`, the contract of captured tables, decode steps run from
+    0 and every sample has its prompt, so steps are only shifted and the
+    vectors are not moved. Otherwise they are ranked.
     """
     keys = list(keys)
     payload = [c for c in df.columns if c not in (*keys, "kind", "step")]
@@ -44,7 +45,9 @@ def select_capture(
                 decode, ["step"], F.floor(F.col("step") / STEPS_PER_BUCKET), keys, "_rank")
             decode = decode.withColumn("step", F.col("_rank")).drop("_rank")
         decode = decode.withColumn("step", F.col("step").cast("long"))
-        if mode == PREFILL_DECODE:
+        if mode == PREFILL_DECODE and contiguous:
+            decode = decode.withColumn("step", F.col("step") + 1)
+        elif mode == PREFILL_DECODE:
             has_prompt = parts[0].select(*keys, F.lit(1).alias("_shift"))
             decode = decode.join(has_prompt, keys, "left").withColumn(
                 "step", F.col("step") + F.coalesce("_shift", F.lit(0))).drop("_shift")
@@ -57,7 +60,10 @@ def select_capture(
 def active_steps(
     df: DataFrame, is_end: Column, max_steps: int, sample: str = "sample_id"
 ) -> DataFrame:
-    """Steps before the sample's first end token, at most `max_steps` of them."""
+    """Steps before the sample's first end token, at most `max_steps` of them.
+
+    Meant for the narrow table of tokens; vectors are attached to what is left.
+    """
     capped = df.where(F.col("step") < max_steps)
     ends = capped.where(is_end).groupBy(sample).agg(F.min("step").alias("_end"))
     return (

@@ -37,7 +37,7 @@ def seeded_sample(
     or moved. With `text`, rows whose text is empty are not usable.
     """
     usable = df if text is None else df.where(F.col(text) != "")
-    cuts = hash_cutoffs(usable, groups, id_col, seed, lambda total: F.lit(n))
+    cuts = hash_cutoffs(usable, groups, id_col, seed, lambda total: F.lit(n), totals=True)
     report = cuts.select(*groups, "total", "taken", (F.col("taken") < n).alias("short"))
     return _cut(usable, cuts, groups, id_col, seed).where("_inside").drop("_inside"), report
 

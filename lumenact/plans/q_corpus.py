@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.sizes import small_table
 from ..functions.text import collect_text, normalize_space
 from ..operators import corpus as co
 from ..sources.nested import read_topic_rows, topic_texts
@@ -139,7 +140,7 @@ def t10(spark, sf_dir):
   FROM ok o JOIN topics t USING (topic) LEFT JOIN samples s ON s.sample_id = o.sample_id"""))
 def t11(spark, sf_dir):
     rows = _ok(spark, sf_dir)
-    topics = co.topic_dictionary(rows, "topic", "sample_id")
+    topics = small_table(co.topic_dictionary(rows, "topic", "sample_id"))
     labeled = co.labeled_set(rows, topics).select("sample_id", "label", "prompt")
     return co.sample_stats(labeled, fx.activations(spark, sf_dir), topics, 0)
 

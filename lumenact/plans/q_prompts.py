@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import prompts as pr
 from ..operators import replies as rp
+from ..session import stage
 from . import fixtures as fx
 from .catalog import query
 from .oracle import cte, with_ctes
@@ -101,7 +103,6 @@ def p05(spark, sf_dir):
           count(DISTINCT user_id) AS users FROM events GROUP BY event_type)""")
 def p06(spark, sf_dir):
     """Event kinds in the place of levels."""
-    from pyspark.sql import Window
     kinds = fx.table(spark, sf_dir, "events").groupBy("event_type").agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("users"))
     levels = kinds.select(
@@ -223,4 +224,4 @@ SUMMARY_SQL = """
 
 @query("p14_run_summary", with_ctes("outcome", SUMMARY_SQL))
 def p14(spark, sf_dir):
-    return rp.run_summary(_records(spark, sf_dir))
+    return rp.run_summary(stage(_records(spark, sf_dir)))

@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.sizes import bounded_side
+from ..functions.sizes import bounded_side, small_table
 from ..operators import corpus, discover, linear, temporal
 from ..operators.encode import JUMPRELU, TOPK, encode
 from ..session import stage
@@ -75,7 +75,7 @@ class Study:
     @cached_property
     def chosen(self) -> DataFrame:
         """The best layer's K features on the training split."""
-        return stage(discover.discover(
+        return small_table(discover.discover(
             self.train_first, self.train, K, fx.D_SAE, layers=fx.layer_frame(self.spark)))
 
     @cached_property

@@ -172,7 +172,7 @@ def test_ranks_and_cuts_equal_a_plain_sort(spark):
     for r in split.groupBy("g").agg(F.count_if(F.col("split") == "train").alias("t")).collect():
         assert r["t"] == int(seen[r["g"]] * 0.8)
     assert all(ranked[r["sample_id"]] < int(seen[r["g"]] * 0.8) for r in split.where("split = 'train'").collect())
-    cuts = hash_cutoffs(df, [], "id", 9, lambda n: F.lit(100)).first()
+    cuts = hash_cutoffs(df, [], "id", 9, lambda n: F.lit(100), totals=True).first()
     assert (cuts["total"], cuts["taken"]) == (5000, 100)
 
 
