@@ -1,4 +1,4 @@
-"""Statistics that count absent rows as zeros, exact quantiles, softmax."""
+"""Statistics that count absent rows as zeros, exact quantiles."""
 
 from __future__ import annotations
 
@@ -71,20 +71,3 @@ def grouped_quantile(
         .select(*keys, (F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_frac")).alias(name))
     )
 
-
-def softmax(scores: Column) -> Column:
-    """Probabilities of an array of logits."""
-    top = F.array_max(scores)
-    powers = F.transform(scores, lambda s: F.exp(s - top))
-    total = F.aggregate(powers, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(powers, lambda x: x / total)
-
-
-def first_argmax(values: Column) -> Column:
-    """0-based position of the largest entry; the lowest position wins ties."""
-    return (F.array_position(values, F.array_max(values)) - 1).cast("int")
-
-
-def rounded(values: Column, digits: int = 9) -> Column:
-    """Entries rounded so that sums taken in another order compare equal."""
-    return F.transform(values, lambda v: F.round(v, digits))

@@ -14,10 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.stats import first_argmax, rounded, softmax
-
 BIAS = -1
 DIGITS = 9
+TIE = 1e-9
 MAX_CLASSES = 1000
 
 
@@ -96,22 +95,36 @@ def from_matrix(
     return spark.createDataFrame(rows, schema)
 
 
-def decide(df: DataFrame, scores: Column, classes: Sequence[int], keep: Sequence[str]) -> DataFrame:
-    """Class, its probability and that of the true class, from class scores.
+def decide(df: DataFrame, scores: Sequence[str], classes: Sequence[int], keep: Sequence[str]) -> DataFrame:
+    """Class, its probability and that of the true class, from score columns.
 
-    Scores are sums whose order may vary, so ties and thresholds are judged on
-    values rounded to DIGITS digits.
+    Scores are sums whose order may vary, so scores within TIE of the best
+    count as equal to it (the lowest class wins), and probabilities are
+    rounded to DIGITS digits. Plain columns, one per class, keep all of this
+    inside generated code.
     """
-    known = F.array(*[F.lit(int(c)) for c in classes])
-    scored = df.select(*keep, scores.alias("_s"))
-    scored = scored.select(*keep, "_s", softmax(F.col("_s")).alias("_p"))
+    top = F.greatest(*scores) if len(scores) > 1 else F.col(scores[0])
+    scored = df.select(*keep, *scores, top.alias("_top"))
+    powers = [f"_e{i}" for i in range(len(scores))]
+    pred, true = F.when(F.lit(False), F.lit(None).cast("int")), F.when(F.lit(False), F.lit(None).cast("double"))
+    for c, s, e in zip(classes, scores, powers):
+        pred = pred.when(F.col(s) >= F.col("_top") - F.lit(TIE), F.lit(int(c)))
+        true = true.when(F.col("label") == int(c), F.col(e))
+    scored = scored.select(
+        *keep, pred.alias("pred"), *[F.exp(F.col(s) - F.col("_top")).alias(e) for s, e in zip(scores, powers)])
+    total = F.col(powers[0])
+    for e in powers[1:]:
+        total = total + F.col(e)
+    scored = scored.select(*keep, "pred", true.alias("_true"), F.greatest(*powers, F.lit(0.0)).alias("_best"), total.alias("_all"))
     return scored.select(
-        *keep,
-        F.get(known, first_argmax(rounded(F.col("_s"), DIGITS))).alias("pred"),
-        F.round(F.array_max("_p"), DIGITS).alias("confidence"),
-        F.round(F.try_element_at("_p", F.nullif(F.array_position(known, F.col("label")).cast("int"), F.lit(0))),
-                DIGITS).alias("p_true"),
-    )
+        *keep, "pred",
+        F.round(F.col("_best") / F.col("_all"), DIGITS).alias("confidence"),
+        F.round(F.col("_true") / F.col("_all"), DIGITS).alias("p_true"))
+
+
+def class_weights(n: int) -> list[Column]:
+    """The weight of each class as a column of its own."""
+    return [F.get("w", F.lit(i)).alias(f"_c{i}") for i in range(n)]
 
 
 def with_bias(first: DataFrame, samples: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -133,6 +146,7 @@ def score(
     are a checked list (`feature_ids_in_order`).
     """
     group = ["sample_id", "label", *dict.fromkeys([*on, *keys])]
-    sums = [F.sum(F.get("w", F.lit(i))).alias(f"_c{i}") for i in range(len(classes))]
-    totals = fires.join(F.broadcast(weights), [*on, "feature_id"]).groupBy(*group).agg(*sums)
-    return decide(totals, F.array(*[F.col(f"_c{i}") for i in range(len(classes))]), classes, group)
+    names = [f"_c{i}" for i in range(len(classes))]
+    added = fires.join(F.broadcast(weights), [*on, "feature_id"]).select(*group, *class_weights(len(classes)))
+    totals = added.groupBy(*group).agg(*[F.sum(c).alias(c) for c in names])
+    return decide(totals, names, classes, group)

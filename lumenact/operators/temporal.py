@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.sizes import bounded_side
 from ..functions.stats import grouped_quantile
 from .evaluate import hit
-from .linear import BIAS, decide
+from .linear import BIAS, class_weights, decide
 
 
 def evaluation_grid(max_steps: int) -> list[int]:
@@ -66,25 +66,25 @@ def confidence_curve(
     scores are running sums over one sample's points, so nothing is multiplied
     out and the only shuffle is by sample.
     """
-    columns = ["sample_id", "label", "t", "w"]
+    n = len(classes)
+    names = [f"_c{i}" for i in range(n)]
     fires = first.select("sample_id", "label", "feature_id", entry_point(grid, inclusive).alias("t"))
     bias = samples.select(
         "sample_id", "label", F.lit(BIAS).alias("feature_id"), F.lit(int(grid[0])).alias("t"))
     added = (
         fires.where(F.col("t").isNotNull()).unionByName(bias)
-        .join(F.broadcast(weights), "feature_id").select(*columns)
+        .join(F.broadcast(weights), "feature_id")
+        .select("sample_id", "label", "t", F.lit(False).alias("_point"), *class_weights(n))
     )
-    points = samples.select("sample_id", "label", F.explode(_literal(grid)).alias("t"))
-    rows = added.withColumn("_point", F.lit(False)).unionByName(
-        points.select("sample_id", "label", "t", F.lit(None).cast("array<double>").alias("w"),
-                      F.lit(True).alias("_point")))
-    so_far = Window.partitionBy("sample_id").orderBy("t").rangeBetween(
+    points = samples.select(
+        "sample_id", "label", F.explode(_literal(grid)).alias("t"), F.lit(True).alias("_point"),
+        *[F.lit(None).cast("double").alias(c) for c in names])
+    # A point comes after the firings it sees.
+    so_far = Window.partitionBy("sample_id").orderBy("t", "_point").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    scores = [F.sum(F.get("w", F.lit(i))).over(so_far).alias(f"_c{i}") for i in range(len(classes))]
-    summed = rows.select("sample_id", "label", "t", "_point", *scores).where("_point")
-    return decide(
-        summed, F.array(*[F.col(f"_c{i}") for i in range(len(classes))]), classes,
-        ["sample_id", "label", "t"])
+    sums = added.unionByName(points).select(
+        "sample_id", "label", "t", "_point", *[F.sum(c).over(so_far).alias(c) for c in names])
+    return decide(sums.where("_point"), names, classes, ["sample_id", "label", "t"])
 
 
 def curve_summary(curve: DataFrame) -> DataFrame:

@@ -126,7 +126,7 @@ def bayes(name: str, counts: str, keys: str = "", alpha: str = "1.0::DOUBLE") ->
 def decisions(name: str, scores: str, keys: str) -> None:
     """Class, confidence and probability of the true class from class scores."""
     cte(name, (scores,), f"""
-      SELECT {keys}, CAST(min(cls) FILTER (round(score, 9) = round(m, 9)) AS INTEGER) AS pred,
+      SELECT {keys}, CAST(min(cls) FILTER (score >= m - 1e-9::DOUBLE) AS INTEGER) AS pred,
         round(1 / sum(exp(score - m)), 9) AS confidence,
         round(sum(exp(score - m)) FILTER (cls = label) / sum(exp(score - m)), 9) AS p_true
       FROM (SELECT *, max(score) OVER (PARTITION BY {keys}) AS m FROM {scores})

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.linear import BIAS, DIGITS
+from ..operators.linear import BIAS, DIGITS, TIE
 
 FIRED_SCHEMA = "sample_id long, layer int, label int, feature_id int, first_step int"
 DECISION_SCHEMA = "sample_id long, label int, tokens int, pred int, confidence double, early boolean"
@@ -123,7 +123,7 @@ class Guardrail(_InOrder):
     def _judge(self, scores) -> tuple[int, float]:
         scores = np.asarray(scores)
         powers = np.exp(scores - scores.max())
-        best = int(np.argmax(np.round(scores, DIGITS)))
+        best = int(np.argmax(scores >= scores.max() - TIE))
         return self.classes[best], round(float(powers.max() / powers.sum()), DIGITS)
 
     def advance(self, state, key, step, label, fired, is_last):
