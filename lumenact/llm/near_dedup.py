@@ -2,11 +2,13 @@
 
 Each of several independent trees sends a document down a path of chosen
 minwise tokens: the root chooses one signature coordinate, and every node that
-is still large chooses a few more, so documents share a node when they agree on
-the tokens chosen along its path. Small nodes are compared exhaustively. A pair
-of similarity s meets below one root with probability s, so at s = 0.8 eight
-trees miss 0.2^8 = 2.6e-6 of the pairs, and a large node's `branches` choices
-miss again only (1 - s)^branches of what that tree had found.
+is still large chooses one or two more, 1 / s of them on average for the asked
+similarity s, so documents share a node when they agree on the tokens chosen
+along its path. Small nodes are compared exhaustively. A pair of similarity s
+meets below one root with probability s, so at s = 0.8 eight trees miss
+0.2^8 = 2.6e-6 of the pairs. Under a large node the expected number of children
+that hold both stays one, and the other trees, whose roots chose other tokens,
+make up for the paths that end.
 
 Pairs are found on signatures and then confirmed on full shingle sets. To
 return components it is enough to confirm links between documents that are not
@@ -29,28 +31,38 @@ from . import text_hash
 from .components import components
 from .tables import shared_table
 
-COORDINATES = 32
+COORDINATES = 128
 TREES = 8
-BRANCHES = 3
-NODE_LIMIT = 1024
+NODE_LIMIT = 2048
 MAX_DEPTH = 4
+ID_BUCKETS = 1 << 20
 
 _MULTIPLY = text_hash.stream(101, COORDINATES) | np.uint64(1)
 _ADD = text_hash.stream(102, COORDINATES)
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """One minwise value per set and coordinate (zeros for empty sets)."""
-    out = np.zeros((len(sets), COORDINATES), dtype=np.uint32)
+def signatures(sets: list[np.ndarray], trees: int) -> tuple[np.ndarray, np.ndarray]:
+    """Minwise values of each set (zeros for empty sets).
+
+    The last byte of each coordinate's value, which tells unequal values apart
+    but for one in 256, and the whole values of the coordinates the roots choose.
+    """
+    marks = np.zeros((len(sets), COORDINATES), dtype=np.uint8)
+    roots = np.zeros((len(sets), trees), dtype=np.uint32)
     full = [i for i, s in enumerate(sets) if len(s)]
     if not full:
-        return out
+        return marks, roots
     items = np.concatenate([sets[i] for i in full])
     starts = np.concatenate([[0], np.cumsum([len(sets[i]) for i in full])[:-1]])
-    for k in range(COORDINATES):
-        values = ((items * _MULTIPLY[k] + _ADD[k]) >> np.uint64(32)).astype(np.uint32)
-        out[full, k] = np.minimum.reduceat(values, starts)
-    return out
+    for k in range(0, COORDINATES, 2):
+        # Both halves of a 64-bit product: two independent orders of the items.
+        halves = (items * _MULTIPLY[k] + _ADD[k]).view(np.uint32).reshape(-1, 2)
+        for half in range(2):
+            least = np.minimum.reduceat(np.ascontiguousarray(halves[:, half]), starts)
+            marks[full, k + half] = text_hash.mix(least.astype(np.uint64)).astype(np.uint8)
+            if k + half < trees:
+                roots[full, k + half] = least
+    return marks, roots
 
 
 def _signed(x) -> pa.Array:
@@ -65,34 +77,40 @@ def _binary(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(rows.tobytes())])
 
 
-def _profile(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+def _profile(batches: Iterator[pa.RecordBatch], size: int, trees: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = text_hash.filled(batch.column("text"))
         for start, end in text_hash.slices(texts):
             sets = text_hash.shingle_sets(texts.slice(start, end - start), size)
+            marks, roots = signatures(sets, trees)
             yield pa.RecordBatch.from_arrays([
-                batch.column("id").slice(start, end - start),
-                pa.array([len(s) for s in sets], pa.int64()),
-                _signed([s.sum(dtype=np.uint64) for s in sets]),
-                _signed([np.bitwise_xor.reduce(text_hash.mix(s), initial=np.uint64(0)) for s in sets]),
-                _binary(signatures(sets)),
-            ], names=["id", "n_shingles", "sum", "xor", "signature"])
+                batch.column("id").slice(start, end - start), *_identity(sets), _binary(marks), _binary(roots),
+            ], names=["id", *_SET, "signature", "roots"])
+
+
+_SET = ["n_shingles", "sum", "xor"]
 
 
-def profiles(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(id, n_shingles, sum, xor, signature): sum and xor identify the set."""
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        lambda batches: _profile(batches, size),
-        "id long, n_shingles long, sum long, xor long, signature binary")
+def _identity(sets: list[np.ndarray]) -> list[pa.Array]:
+    """Size, sum and mixed exclusive-or: equal for equal sets only."""
+    return [pa.array([len(s) for s in sets], pa.int64()), _signed([s.sum(dtype=np.uint64) for s in sets]),
+            _signed([np.bitwise_xor.reduce(text_hash.mix(s), initial=np.uint64(0)) for s in sets])]
+
+
+def profiles(texts: DataFrame, size: int, trees: int = TREES) -> DataFrame:
+    """(id, n_shingles, sum, xor, signature, roots) of a table (id, text)."""
+    return texts.mapInArrow(
+        lambda batches: _profile(batches, size, trees),
+        "id long, n_shingles long, sum long, xor long, signature binary, roots binary")
 
 
 def _tokens(batches: Iterator[pa.RecordBatch], trees: int) -> Iterator[pa.RecordBatch]:
     """The root's choice in each tree: one row per document and tree."""
     for batch in batches:
         n = batch.num_rows
-        sig = _matrix(batch.column("signature"))
+        roots = np.frombuffer(b"".join(batch.column("roots").to_pylist()), dtype=np.uint32).reshape(n, trees)
         for tree in range(trees):
-            node = text_hash.mix(sig[:, tree].astype(np.uint64) + np.uint64((tree + 1) << 32))
+            node = text_hash.mix(roots[:, tree].astype(np.uint64) + np.uint64((tree + 1) << 32))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(n, tree, dtype=np.int32)), _signed(node), batch.column("id"), batch.column("n_shingles")],
                 names=["tree", "node", "id", "n_shingles"])
@@ -100,22 +118,24 @@ def _tokens(batches: Iterator[pa.RecordBatch], trees: int) -> Iterator[pa.Record
 
 def _matrix(column: pa.Array) -> np.ndarray:
     joined = b"".join(column.to_pylist())
-    return np.frombuffer(joined, dtype=np.uint32).reshape(len(column), COORDINATES)
+    return np.frombuffer(joined, dtype=np.uint8).reshape(len(column), COORDINATES)
 
 
-def _branch(batches: Iterator[pa.RecordBatch], branches: int) -> Iterator[pa.RecordBatch]:
-    """Children of large nodes: the node's own hash chooses the coordinates."""
+def _branch(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Children of large nodes: the node's own hash chooses one coordinate, and sometimes a second."""
+    second = np.uint64(int((100.0 / percent - 1.0) * 2**32))
     for batch in batches:
         sig = _matrix(batch.column("signature"))
         node = batch.column("node").to_numpy().view(np.uint64)
-        rows = np.arange(batch.num_rows)
-        for k in range(branches):
-            chosen = text_hash.mix(node + np.uint64(7919 * (k + 1))) % np.uint64(COORDINATES)
-            token = sig[rows, chosen.astype(np.int64)].astype(np.uint64)
-            child = text_hash.mix(text_hash.mix(node ^ token) + (chosen << np.uint64(32)) + np.uint64(k))
+        for k in range(2):
+            choice = text_hash.mix(node + np.uint64(7919 * (k + 1)))
+            rows = np.flatnonzero((choice >> np.uint64(32)) < second) if k else np.arange(len(node))
+            chosen = choice[rows] % np.uint64(COORDINATES)
+            token = sig[rows, chosen.astype(np.int64)].astype(np.uint64) + (chosen << np.uint64(8))
+            child = text_hash.mix(text_hash.mix(node[rows] + token) + np.uint64(k))
+            part = batch.take(pa.array(rows))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("tree"), _signed(child), batch.column("id"), batch.column("n_shingles"),
-                 batch.column("signature"), batch.column("component")],
+                [part.column("tree"), _signed(child), *[part.column(c) for c in ("id", "n_shingles", "signature", "component")]],
                 names=["tree", "node", "id", "n_shingles", "signature", "component"])
 
 
@@ -193,18 +213,24 @@ def _full_sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Reco
         for start, end in text_hash.slices(texts):
             sets = text_hash.shingle_sets(texts.slice(start, end - start), size)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id").slice(start, end - start), pa.array([s.tobytes() for s in sets], pa.binary())],
-                names=["id", "set"])
+                [batch.column("id").slice(start, end - start), *_identity(sets),
+                 pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", *_SET, "set"])
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, heads: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets reach the similarity.
 
-    `texts` (id, text) is read again, only for the documents of a pair.
+    `texts` (id, text) is read again. A semi join on ID_BUCKETS hash buckets at
+    most, small enough for a broadcast, drops most documents without a pair
+    before anything is shuffled; an exact semi join follows.
     """
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = shared_table(texts.join(wanted, "id", "left_semi").mapInArrow(
-        lambda batches: _full_sets(batches, size), "id long, set binary"), "sets")
+    wanted = heads.select("id", *_SET).join(
+        pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "id", "left_semi")
+    bucket = F.pmod(F.xxhash64("id"), F.lit(ID_BUCKETS))
+    near = wanted.select(bucket.alias("bucket")).distinct()
+    sets = texts.withColumn("bucket", bucket).join(F.broadcast(near), "bucket", "left_semi").select("id", "text")
+    sets = sets.mapInArrow(lambda batches: _full_sets(batches, size), "id long, n_shingles long, sum long, xor long, set binary")
+    sets = shared_table(sets.join(wanted, ["id", *_SET], "left_semi").select("id", "set"), "sets")
     return (
         pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
         .join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
@@ -233,10 +259,11 @@ def _blocks(members: DataFrame, limit: int) -> DataFrame:
 def least_equal(percent: int) -> int:
     """Coordinates that must agree for a pair to be confirmed on full sets.
 
-    Four standard deviations and a half below the mean at the asked similarity.
+    Four standard deviations below the mean at the asked similarity: at that
+    very similarity, 3 pairs in 100,000 have fewer.
     """
     s = percent / 100.0
-    return max(1, int(np.floor(COORDINATES * s - 4.5 * np.sqrt(COORDINATES * s * (1 - s)))))
+    return max(1, int(np.floor(COORDINATES * s - 4 * np.sqrt(COORDINATES * s * (1 - s)))))
 
 
 def near_duplicates(
@@ -246,7 +273,6 @@ def near_duplicates(
     size: int = 5,
     percent: int = 80,
     trees: int = TREES,
-    branches: int = BRANCHES,
     node_limit: int = NODE_LIMIT,
 ) -> DataFrame:
     """One row per document: id, n_shingles, component_id, kept.
@@ -258,23 +284,19 @@ def near_duplicates(
 
     A null, empty or blank text has no shingles and links with nothing. A
     repeated id is one document: it has one row, with the set of the largest
-    (n_shingles, sum, xor) if its texts differ. A null id keeps its
+    (n_shingles, sum, xor of its hashes) if its texts differ. A null id keeps its
     row, with a null component, and is kept. Other columns are ignored, so
     their names cannot clash. An empty table gives an empty result.
     """
     renamed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    table = shared_table(profiles(renamed, "id", "text", size), "profiles")
+    table = shared_table(profiles(renamed, size, trees), "profiles")
     # One row per id, then one class per distinct set, named by its smallest id.
     named = table.where("id IS NOT NULL").groupBy("id").agg(
-        F.max(F.struct("n_shingles", "sum", "xor")).alias("p")).select("id", "p.*")
+        F.max(F.struct(*_SET)).alias("p")).select("id", "p.*")
     has_set = F.col("n_shingles") > 0
-    classes = shared_table(named.where(has_set).groupBy("n_shingles", "sum", "xor").agg(
-        F.min("id").alias("class_id"), F.count(F.lit(1)).alias("copies")), "classes")
-    heads = classes.select(F.col("class_id").alias("id"), "n_shingles", "sum", "xor")
-    heads = table.join(heads, ["id", "n_shingles", "sum", "xor"], "left_semi").dropDuplicates(["id"]).select(
-        "id", "n_shingles", "signature")
-    heads = shared_table(heads, "heads")
-    texts = renamed.join(classes.select(F.col("class_id").alias("id")), "id", "left_semi")
+    classes = shared_table(named.where(has_set).groupBy(*_SET).agg(F.min("id").alias("class_id")), "classes")
+    heads = table.join(classes.withColumnRenamed("class_id", "id"), ["id", *_SET], "left_semi")
+    heads = shared_table(heads.dropDuplicates(["id"]), "heads")
 
     # The root's choices; documents alone in their node drop out before signatures travel.
     rows = heads.mapInArrow(lambda b: _tokens(b, trees), "tree int, node long, id long, n_shingles long")
@@ -292,18 +314,18 @@ def near_duplicates(
     tries = tries.select("id", "pivot").distinct().join(marks, "id").join(
         marks.select(F.col("id").alias("pivot"), F.col("signature").alias("pivot_signature")), "pivot")
     tries = shared_table(tries.mapInArrow(lambda b: _likely(b, enough), "a long, b long"), "tries")
-    first = shared_table(confirmed(tries, texts, size, percent), "first")
+    first = shared_table(confirmed(tries, heads, renamed, size, percent), "first")
 
     # Then: whoever is still apart, inside small nodes and blocks of large ones.
     apart = members.select("tree", "node", "id", "n_shingles").join(components(first), "id", "left").withColumn(
         "component", F.coalesce("component", "id"))
-    pairs = _search(apart, marks, enough, percent, branches, node_limit)
-    second = shared_table(confirmed(pairs, texts, size, percent), "second")
+    pairs = _search(apart, marks, enough, percent, node_limit)
+    second = shared_table(confirmed(pairs, heads, renamed, size, percent), "second")
     links = first.union(second)
     reached = components(links).select(F.col("id").alias("class_id"), "component")
     classes = classes.join(reached, "class_id", "left").select(
-        "n_shingles", "sum", "xor", F.coalesce("component", "class_id").alias("component_id"))
-    placed = named.join(classes, ["n_shingles", "sum", "xor"], "left").select(
+        *_SET, F.coalesce("component", "class_id").alias("component_id"))
+    placed = named.join(classes, _SET, "left").select(
         "id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
     placed = placed.unionByName(table.where("id IS NULL").select(
         "id", "n_shingles", F.lit(None).cast("long").alias("component_id")))
@@ -327,7 +349,7 @@ def _mixed(members: DataFrame) -> DataFrame:
 
 
 def _search(
-    members: DataFrame, marks: DataFrame, enough: int, percent: int, branches: int, node_limit: int
+    members: DataFrame, marks: DataFrame, enough: int, percent: int, node_limit: int
 ) -> DataFrame:
     """Candidate pairs (a, b) of different components from all trees."""
     level = _mixed(members).join(marks, "id")
@@ -340,7 +362,7 @@ def _search(
         if last or large.isEmpty():
             break
         level = _mixed(large.select("tree", "node", "id", "n_shingles", "signature", "component").mapInArrow(
-            lambda b: _branch(b, branches), _MEMBERS))
+            lambda b: _branch(b, percent), _MEMBERS))
     whole = ready[0]
     for more in ready[1:]:
         whole = whole.unionByName(more)

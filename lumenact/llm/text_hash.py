@@ -39,6 +39,13 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[0x41:0x5B] += 0x20
+
+
+def fold(data: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z lowered."""
+    return _FOLD[data]
+
+
 _VALUE = stream(11, 256)
 _VALUE_FOLDED = _VALUE[_FOLD]
 _powers = {"up": np.ones(1, dtype=np.uint64), "down": np.ones(1, dtype=np.uint64)}
@@ -97,14 +104,19 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def words(texts: pa.Array, fold: bool = True) -> Words:
-    """All words of a slice of texts (no nulls)."""
+#: Everything but letters, digits and bytes of longer characters.
+PUNCTUATED = np.ones(256, dtype=bool)
+PUNCTUATED[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
+
+
+def words(texts: pa.Array, fold: bool = True, between: np.ndarray = _SPACE) -> Words:
+    """All words of a slice of texts (no nulls); `between` marks the bytes outside words."""
     data, offsets = text_bytes(texts)
     n = len(data)
     if n == 0:
         none = np.zeros(0, dtype=np.int64)
         return Words(data, none.astype(np.uint64), none, none, none, np.zeros(len(texts) + 1, dtype=np.int64))
-    inside = ~_SPACE[data]
+    inside = ~between[data]
     edge = np.zeros(n + 1, dtype=bool)
     edge[offsets] = True
     begin = inside.copy()
