@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
@@ -21,3 +24,15 @@ def shared_table(df: DataFrame, label: str) -> DataFrame:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def per_process(key: tuple, make: Callable):
+    """An object kept for the life of a worker process.
+
+    The library's functions travel to the workers by value, so their module's
+    globals do not outlive a task; a module of this name does.
+    """
+    kept = sys.modules.setdefault("lumenact_worker", types.ModuleType("lumenact_worker")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]

@@ -70,6 +70,14 @@ class Words:
     ends: np.ndarray
     docs: np.ndarray
     first: np.ndarray  # first word of each document, one more entry than documents
+    sums: np.ndarray  # prefix sums of the bytes' terms
+
+    def prefixes(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(document, hash) of the first `size` bytes of each longer word."""
+        rows = np.flatnonzero(self.ends - self.starts > size)
+        starts = self.starts[rows]
+        down = _power_tables(len(self.data))[1]
+        return self.docs[rows], mix((self.sums[starts + size] - self.sums[starts]) * down[starts] + _U(size))
 
 
 def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
@@ -115,7 +123,8 @@ def words(texts: pa.Array, fold: bool = True, between: np.ndarray = _SPACE) -> W
     n = len(data)
     if n == 0:
         none = np.zeros(0, dtype=np.int64)
-        return Words(data, none.astype(np.uint64), none, none, none, np.zeros(len(texts) + 1, dtype=np.int64))
+        return Words(data, none.astype(np.uint64), none, none, none, np.zeros(len(texts) + 1, dtype=np.int64),
+                     np.zeros(1, dtype=np.uint64))
     inside = ~between[data]
     edge = np.zeros(n + 1, dtype=bool)
     edge[offsets] = True
@@ -130,7 +139,7 @@ def words(texts: pa.Array, fold: bool = True, between: np.ndarray = _SPACE) -> W
     hashes = mix((sums[ends] - sums[starts]) * down[starts])
     first = np.searchsorted(starts, offsets)
     docs = np.repeat(np.arange(len(texts)), np.diff(first))
-    return Words(data, hashes, starts, ends, docs, first)
+    return Words(data, hashes, starts, ends, docs, first, sums)
 
 
 _PLACES = stream(23, 64) | _U(1)
