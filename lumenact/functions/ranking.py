@@ -13,7 +13,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sizes import bounded_side
+from .joins import match
 
 HEX_DIGITS = 3
 
@@ -64,7 +64,7 @@ def bucketed_rank(
         *groups, "_bucket", (F.sum("_n").over(before) - F.col("_n")).alias("_offset"))
     inside = Window.partitionBy(*groups, "_bucket").orderBy(*order)
     return (
-        with_bucket.join(offsets, [*groups, "_bucket"])
+        match(with_bucket, offsets, [*groups, "_bucket"])
         .withColumn(name, F.col("_offset") + F.row_number().over(inside) - 1)
         .drop("_bucket", "_offset")
     )
@@ -118,7 +118,7 @@ def hash_cutoffs(
     ).select(*groups, "_bucket", (F.col("taken") - F.col("_through") + F.col("_n")).alias("_nth"))
     inside = Window.partitionBy(*groups, "_bucket").orderBy("_key", "_id")
     cuts = (
-        narrow.join(bounded_side(edges), [*groups, "_bucket"])
+        match(narrow, edges, [*groups, "_bucket"])
         .withColumn("_rn", F.row_number().over(inside))
         .where(F.col("_rn") == F.col("_nth"))
         .select(*groups, F.col("_key").alias("cut_key"), F.col("_id").alias("cut_id"))
@@ -129,7 +129,7 @@ def hash_cutoffs(
     if not groups:
         return sizes.withColumn("_one", F.lit(1)).join(
             cuts.withColumn("_one", F.lit(1)), "_one", "left").drop("_one")
-    return sizes.join(cuts, groups, "left")
+    return match(sizes, cuts, groups, "left")
 
 
 def before_cut(id_col: str, seed: int | str | Column) -> Column:

@@ -1,36 +1,17 @@
-"""Size-checked small tables."""
+"""Tables whose size the caller bounds."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-MAX_BROADCAST_ROWS = 200_000
 
+def fetched(df: DataFrame, max_rows: int) -> DataFrame:
+    """A table of at most `max_rows` rows, computed once and kept as literal rows.
 
-def _small(df: DataFrame, max_rows: int) -> DataFrame | None:
-    """`df` as a table of literal rows, or None when it has more than `max_rows`."""
+    For results whose size is a parameter, such as the k chosen features;
+    everything else stays a plan, and the optimizer decides what to broadcast.
+    """
     rows = df.limit(max_rows + 1).toArrow()
     if rows.num_rows > max_rows:
-        return None
-    return df.sparkSession.createDataFrame(rows, df.schema)
-
-
-def bounded_side(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Mark `df` for broadcast if it proves to be small enough.
-
-    A broadcast brings its rows to the driver anyway; fetching at most
-    `max_rows` of them first both proves the bound and saves computing the
-    table again. Beyond the bound the frame is returned as it is, and the join
-    shuffles, with adaptive skew handling.
-    """
-    small = _small(df, max_rows)
-    return df if small is None else F.broadcast(small)
-
-
-def small_table(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """A table that must be small, computed once."""
-    small = _small(df, max_rows)
-    if small is None:
         raise ValueError(f"expected at most {max_rows} rows")
-    return small
+    return df.sparkSession.createDataFrame(rows, df.schema)

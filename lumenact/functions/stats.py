@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sizes import bounded_side
+from .joins import match
 
 
 def variance_with_zeros(value: str, domain: Column) -> Column:
@@ -51,8 +51,7 @@ def grouped_quantile(
         F.when(small, F.col("_max")).otherwise(F.col("_b")[1]).alias("_hi"),
     )
     inside = (
-        df.select(*keys, F.col(value).alias("_v"))
-        .join(bounded_side(brackets), keys)
+        match(df.select(*keys, F.col(value).alias("_v")), brackets, keys)
         .where(F.col("_v") <= F.col("_hi"))
         .withColumn("_v", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")))
         .groupBy(*keys, "_n", "_v").agg(F.count(F.lit(1)).alias("_c"))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.joins import match
 from ..functions.ranking import bucketed_rank
 
 DECODE = "decode"
@@ -20,15 +21,15 @@ def select_capture(
     df: DataFrame,
     mode: str,
     keys: Sequence[str] = ("sample_id", "layer"),
-    contiguous: bool = True,
+    contiguous: bool = False,
 ) -> DataFrame:
     """Keep the steps of a capture mode and number them from 0.
 
     `kind` tells prompt positions ("prefill") from generated steps ("decode").
     Of the prompt only the last position is ever kept, and it comes first.
-    With `contiguous`, the contract of captured tables, decode steps run from
-    0 and every sample has its prompt, so steps are only shifted and the
-    vectors are not moved. Otherwise they are ranked.
+    Decode steps are ranked, and shifted where the sample has a prompt. A
+    caller who knows that they already run from 0 and that every sample has its
+    prompt can say so with `contiguous`; then the vectors are not moved.
     """
     keys = list(keys)
     payload = [c for c in df.columns if c not in (*keys, "kind", "step")]
@@ -49,7 +50,7 @@ def select_capture(
             decode = decode.withColumn("step", F.col("step") + 1)
         elif mode == PREFILL_DECODE:
             has_prompt = parts[0].select(*keys, F.lit(1).alias("_shift"))
-            decode = decode.join(has_prompt, keys, "left").withColumn(
+            decode = match(decode, has_prompt, keys, "left").withColumn(
                 "step", F.col("step") + F.coalesce("_shift", F.lit(0))).drop("_shift")
         parts.append(decode.select(*keys, "kind", "step", *payload))
     if not parts:
@@ -67,7 +68,7 @@ def active_steps(
     capped = df.where(F.col("step") < max_steps)
     ends = capped.where(is_end).groupBy(sample).agg(F.min("step").alias("_end"))
     return (
-        capped.join(ends, sample, "left")
+        match(capped, ends, [sample], "left")
         .where(F.col("_end").isNull() | (F.col("step") < F.col("_end")))
         .drop("_end")
     )

@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.joins import match
 from ..functions.ranking import before_cut, hash_cutoffs
-from ..functions.sizes import bounded_side
 from ..functions.text import collect_text, normalize_space
 
 SALTS = 64
@@ -48,7 +48,7 @@ def _cut(
     names = df.columns
     limits = cuts.select(*groups, "cut_key", "cut_id")
     if groups:
-        joined = df.join(bounded_side(limits), list(groups), "left")
+        joined = match(df, limits, list(groups), "left")
     else:
         joined = df.withColumn("_one", F.lit(1)).join(
             F.broadcast(limits.withColumn("_one", F.lit(1))), "_one", "left")
@@ -129,9 +129,9 @@ def stratified_split(
 
 
 def labeled_set(df: DataFrame, topics: DataFrame, topic: str = "topic") -> DataFrame:
-    """Attach the class id of each row's topic."""
+    """Attach the class id of each row's topic; a null topic has a class like any other."""
     dictionary = topics.select(F.col("topic").alias(topic), "label")
-    return df.join(bounded_side(dictionary), topic)
+    return match(df, dictionary, [topic])
 
 
 def drop_dead(samples: DataFrame, activations: DataFrame, layer: int) -> DataFrame:
@@ -157,7 +157,7 @@ def sample_stats(samples: DataFrame, activations: DataFrame, topics: DataFrame,
     words = normalize_space(F.col("prompt"))
     return (
         samples.join(steps, "sample_id", "left")
-        .join(bounded_side(topics), "label")
+        .join(topics, "label")
         .select(
             "sample_id", "label", "topic",
             F.length("prompt").alias("char_len"),

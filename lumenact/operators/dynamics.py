@@ -64,9 +64,13 @@ def snapshot_predictions(
 
 def snapshot_summary(predictions: DataFrame) -> DataFrame:
     """Accuracy and mean confidence per t, overall (label null) and per topic."""
+    # Predictions are summed per topic first, so that only sums are taken twice.
+    sums = predictions.groupBy("t", "label").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum(hit()).alias("_hits"), F.sum("confidence").alias("_sure"))
+    n = F.sum("_n")
     return (
-        predictions.groupingSets([["t"], ["t", "label"]], "t", "label")
-        .agg(F.avg(hit()).alias("accuracy"), F.avg("confidence").alias("mean_confidence"))
+        sums.groupingSets([["t"], ["t", "label"]], "t", "label")
+        .agg((F.sum("_hits") / n).alias("accuracy"), (F.sum("_sure") / n).alias("mean_confidence"))
         .select("t", "label", "accuracy", "mean_confidence")
     )
 

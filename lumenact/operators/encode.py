@@ -1,10 +1,11 @@
 """Sparse encoding of hidden states.
 
-Weights are read tile by tile: a tile is a range of features of one layer
+The weights of a layer are read tile by tile: a tile is a range of features
 whose matrix stays under a byte limit, and only tiles are ever collected and
-broadcast. A layer that fits one tile (the usual case) is encoded in one pass
-with no shuffle. Larger layers take one pass per tile, and their partial
-results are merged per vector.
+broadcast. The vectors are read once, whatever the number of tiles: a task goes
+over all tiles of its layer for each block of vectors and keeps what fires, or
+the best k so far. So the plan is the same for every size of the weights, has
+no shuffle, and runs on streams as well.
 """
 
 from __future__ import annotations
@@ -30,44 +31,69 @@ def _top_mask(pre: np.ndarray, k: int) -> np.ndarray:
     if k >= pre.shape[1]:
         return np.ones(pre.shape, dtype=bool)
     cut = np.partition(pre, pre.shape[1] - k, axis=1)[:, pre.shape[1] - k][:, None]
-    above = pre > cut
-    equal = pre == cut
-    room = k - above.sum(axis=1, keepdims=True)
-    return above | (equal & (np.cumsum(equal, axis=1) <= room))
+    mask = pre >= cut
+    tied = np.flatnonzero(mask.sum(axis=1) > k)
+    if len(tied):
+        above, equal = pre[tied] > cut[tied], pre[tied] == cut[tied]
+        room = k - above.sum(axis=1, keepdims=True)
+        mask[tied] = above | (equal & (np.cumsum(equal, axis=1) <= room))
+    return mask
 
 
-def _list_array(mask: np.ndarray, values: np.ndarray) -> pa.ListArray:
-    counts = mask.sum(axis=1)
-    offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+def _pre_activations(x: np.ndarray, part: dict) -> np.ndarray:
+    if part["b_dec"] is not None:
+        x = x - part["b_dec"]
+    return x @ part["w"] + part["b_enc"]
 
 
-def _tile_encoder(tile, kind: str, k: int | None, with_scores: bool, carry: Sequence[str]):
+def _fired_topk(x: np.ndarray, parts: list[dict], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Fired ids row after row and how many each row has: the best k over all tiles.
+
+    Tiles come in the order of their ids, so the columns kept so far hold lower
+    ids than the next tile's, and a tie still goes to the lowest feature.
+    """
+    best = np.zeros((len(x), 0), dtype=parts[0]["w"].dtype)
+    ids = np.zeros((len(x), 0), dtype=np.int32)
+    for part in parts:
+        pre = np.concatenate([best, _pre_activations(x, part)], axis=1)
+        every = np.concatenate([ids, np.broadcast_to(part["ids"], (len(x), len(part["ids"])))], axis=1)
+        mask = _top_mask(pre, k)
+        best = pre[mask].reshape(len(x), -1)
+        ids = every[mask].reshape(len(x), -1)
+    return ids.ravel(), np.full(len(x), ids.shape[1])
+
+
+def _fired_jumprelu(x: np.ndarray, parts: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """Fired ids row after row and how many each row has: all above their threshold."""
+    rows, ids = [], []
+    for part in parts:
+        hit_rows, hit_columns = np.nonzero(_pre_activations(x, part) > part["threshold"])
+        rows.append(hit_rows)
+        ids.append(part["ids"][hit_columns])
+    rows, ids = np.concatenate(rows), np.concatenate(ids)
+    order = np.argsort(rows, kind="stable")
+    return ids[order], np.bincount(rows, minlength=len(x))
+
+
+def _encoder(tiles: list, kind: str, k: int | None, carry: Sequence[str]):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = tile.value
-        w, ids = part["w"], part["ids"]
-        d_model = w.shape[0]
-        rows = max(1, BLOCK_BYTES // (w.shape[1] * w.itemsize))
+        parts = [tile.value for tile in tiles]
+        d_model, dtype = parts[0]["w"].shape[0], parts[0]["w"].dtype
+        widest = max(part["w"].shape[1] for part in parts)
+        rows = max(1, BLOCK_BYTES // (widest * dtype.itemsize))
         for batch in batches:
             for start in range(0, batch.num_rows, rows):
                 block = batch.slice(start, rows)
                 h = block.column("h")
                 if h.null_count or not np.all(np.diff(h.offsets.to_numpy()) == d_model):
                     raise ValueError(f"hidden states must have d_model={d_model} values")
-                x = h.flatten().to_numpy(zero_copy_only=False).astype(w.dtype)
+                x = h.flatten().to_numpy(zero_copy_only=False).astype(dtype)
                 x = x.reshape(block.num_rows, d_model)
-                if part["b_dec"] is not None:
-                    x = x - part["b_dec"]
-                pre = x @ w + part["b_enc"]
-                mask = pre > part["threshold"] if kind == JUMPRELU else _top_mask(pre, k)
-                hits = np.nonzero(mask)
-                columns = [block.column(c) for c in carry]
-                columns.append(_list_array(mask, ids[hits[1]]))
-                names = [*carry, "fired"]
-                if with_scores:
-                    columns.append(_list_array(mask, pre[hits].astype(np.float64)))
-                    names.append("scores")
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                ids, counts = _fired_jumprelu(x, parts) if kind == JUMPRELU else _fired_topk(x, parts, k)
+                offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                fired = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays(
+                    [*[block.column(c) for c in carry], fired], names=[*carry, "fired"])
 
     return encode
 
@@ -138,51 +164,26 @@ def encode(
     wanted = [s["layer"] for s in sizes]
     whole = _pull(weights.where(F.col("layer").isin(wanted))) if total_bytes <= max_tile_bytes else None
 
-    fields = [activations.schema[c] for c in carry]
-    fired_field = T.StructField("fired", T.ArrayType(T.IntegerType()))
-    score_field = T.StructField("scores", T.ArrayType(T.DoubleType()))
+    schema = T.StructType(
+        [*[activations.schema[c] for c in carry], T.StructField("fired", T.ArrayType(T.IntegerType()))])
     parts = []
     for size in sizes:
         if size["d_min"] != size["d_max"]:
             raise ValueError(f"layer {size['layer']} has weights of different widths")
         per_tile = max(1, max_tile_bytes // (size["d_max"] * dtype.itemsize))
-        starts = list(range(size["low"], size["high"] + 1, per_tile))
-        merge_scores = kind == TOPK and len(starts) > 1
-        rows = activations.where(F.col("layer") == size["layer"]).select(*carry, "h")
-        schema = T.StructType([*fields, fired_field, *([score_field] if merge_scores else [])])
         tiles = []
-        for low in starts:
+        for low in range(size["low"], size["high"] + 1, per_tile):
             high = min(low + per_tile - 1, size["high"])
             if whole is not None:
                 part = whole.filter(pc.equal(whole["layer"], size["layer"]))
             else:
                 part = _pull(weights.where(
                     (F.col("layer") == size["layer"]) & F.col("feature_id").between(low, high)))
-            if part.num_rows == 0:
-                continue
-            tile = spark.sparkContext.broadcast(_tile_values(part, biases.get(size["layer"]), dtype))
-            tiles.append(rows.mapInArrow(_tile_encoder(tile, kind, k, merge_scores, carry), schema))
-        parts.append(_merge_tiles(tiles, carry, k if kind == TOPK else None))
-    return _union(parts)
-
-
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for frame in frames[1:]:
-        out = out.unionByName(frame)
+            if part.num_rows:
+                tiles.append(spark.sparkContext.broadcast(_tile_values(part, biases.get(size["layer"]), dtype)))
+        rows = activations.where(F.col("layer") == size["layer"]).select(*carry, "h")
+        parts.append(rows.mapInArrow(_encoder(tiles, kind, k, carry), schema))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
     return out
-
-
-def _merge_tiles(tiles: list[DataFrame], carry: Sequence[str], k: int | None) -> DataFrame:
-    """Join the partial results of one vector; at most one row per tile each."""
-    if len(tiles) == 1:
-        return tiles[0]
-    together = _union(tiles)
-    if k is None:
-        return together.groupBy(*carry).agg(
-            F.array_sort(F.flatten(F.collect_list("fired"))).alias("fired"))
-    pairs = F.flatten(F.collect_list(F.arrays_zip(
-        F.transform("scores", lambda s: -s).alias("neg"), F.col("fired").alias("feature_id"))))
-    best = F.slice(F.array_sort(pairs), 1, k)
-    return together.groupBy(*carry).agg(
-        F.array_sort(F.transform(best, lambda p: p["feature_id"])).alias("fired"))

@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator
 from pyspark.ml.classification import (
     GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes, OneVsRest,
@@ -59,18 +60,20 @@ def logistic(c: float, n: int, max_iter: int = 1000) -> LogisticRegression:
         family="multinomial", regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=max_iter)
 
 
-def linear_svm(c: float, n: int, max_iter: int = 100, parallelism: int = 4) -> OneVsRest:
+def linear_svm(c: float, n: int, max_iter: int = 100) -> OneVsRest:
+    # Classes are fitted one after the other: threads inside OneVsRest would share one set of
+    # job properties, and a fit that clears it breaks the others. run_sweep runs whole fits
+    # side by side, each thread with properties of its own.
     return OneVsRest(
-        classifier=LinearSVC(regParam=1.0 / (c * n), standardization=False, maxIter=max_iter), parallelism=parallelism)
+        classifier=LinearSVC(regParam=1.0 / (c * n), standardization=False, maxIter=max_iter), parallelism=1)
 
 
 def random_forest(trees: int, seed: int = 42) -> RandomForestClassifier:
     return RandomForestClassifier(numTrees=trees, seed=seed, maxDepth=10)
 
 
-def gradient_boosting(rounds: int = BOOSTING_ROUNDS, seed: int = 42, parallelism: int = 4) -> OneVsRest:
-    return OneVsRest(classifier=GBTClassifier(maxIter=rounds, maxDepth=3, stepSize=0.1, seed=seed),
-                     parallelism=parallelism)
+def gradient_boosting(rounds: int = BOOSTING_ROUNDS, seed: int = 42) -> OneVsRest:
+    return OneVsRest(classifier=GBTClassifier(maxIter=rounds, maxDepth=3, stepSize=0.1, seed=seed), parallelism=1)
 
 
 def bernoulli_bayes() -> NaiveBayes:
@@ -149,7 +152,10 @@ def run_sweep(
     that small fits do not leave the cluster idle.
     """
     with ThreadPoolExecutor(threads) as pool:
-        rows = list(pool.map(lambda c: (dataset, *_one(c, train, test)), configs))
+        # Every fit gets a thread target of its own, which copies the caller's job properties.
+        fits = [pool.submit(inheritable_thread_target(train.sparkSession)(lambda c=c: (dataset, *_one(c, train, test))))
+                for c in configs]
+        rows = [fit.result() for fit in fits]
     return train.sparkSession.createDataFrame(
         rows, "dataset string, config string, params map<string,string>, accuracy double, n_test long")
 

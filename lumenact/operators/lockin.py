@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sizes import bounded_side
 from ..functions.stats import variance_with_zeros
 
 LOCKIN = 0.9
@@ -70,7 +69,7 @@ def single_step_variance(
 
 def analysed(curve: DataFrame, coverage: DataFrame) -> DataFrame:
     """The curve at the steps that enough samples reach."""
-    return curve.join(bounded_side(coverage.select(F.col("step").alias("t"))), "t", "left_semi")
+    return curve.join(coverage.select(F.col("step").alias("t")), "t", "left_semi")
 
 
 def topic_confidence(curve: DataFrame) -> DataFrame:

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sizes import bounded_side
 from ..functions.stats import grouped_quantile
 from .evaluate import hit
 from .linear import BIAS, class_weights, decide
@@ -143,11 +142,14 @@ def early_stop_summary(stops: DataFrame, max_steps: int, keys: Sequence[str] = (
         (F.sum(F.when(F.col("tokens") < max_steps, F.col("n")).otherwise(0)) / n).alias("pct_early"))
 
 
-def example_traces(curve: DataFrame, samples: DataFrame, steps: Sequence[int]) -> DataFrame:
-    """The curve of each topic's first sample at the listed steps."""
-    chosen = samples.groupBy("label").agg(F.min("sample_id").alias("sample_id"))
+def first_samples(samples: DataFrame) -> DataFrame:
+    """The lowest sample id of each topic."""
+    return samples.groupBy("label").agg(F.min("sample_id").alias("sample_id")).select("sample_id")
+
+
+def example_traces(curve: DataFrame, steps: Sequence[int]) -> DataFrame:
+    """The curve of the samples to show (see `first_samples`) at the listed steps."""
     return (
         curve.where(F.col("t").isin(list(steps)))
-        .join(bounded_side(chosen.select("sample_id")), "sample_id", "left_semi")
         .select("label", "sample_id", "t", "confidence", "pred", (F.col("pred") == F.col("label")).alias("correct"))
     )

@@ -20,8 +20,9 @@ def _all_variance(s: Study):
 
 @query("a01_capture_modes", """
   WITH rows AS (
-    SELECT conv_id, turn, role, text FROM conversations WHERE role IN ('user', 'assistant')),
-  prompt AS (SELECT conv_id, arg_max(text, turn) AS text FROM rows WHERE role = 'user' GROUP BY conv_id),
+    SELECT conv_id, turn, role, text FROM conversations),
+  prompt AS (SELECT conv_id, arg_max(text, turn) AS text FROM rows
+             WHERE role IS DISTINCT FROM 'assistant' GROUP BY conv_id),
   reply AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS step
             FROM rows WHERE role = 'assistant')
   SELECT 'decode' AS mode, conv_id, 'decode' AS kind, step, md5(text) AS h FROM reply
@@ -31,15 +32,15 @@ def _all_variance(s: Study):
     step + CASE WHEN p.conv_id IS NULL THEN 0 ELSE 1 END, md5(r.text)
   FROM reply r LEFT JOIN prompt p ON p.conv_id = r.conv_id""")
 def a01(spark, sf_dir):
-    """Every capture mode over the turns: user turns are prompt positions."""
+    """Every capture mode over the turns: system and user turns are prompt positions."""
     rows = (
-        fx.table(spark, sf_dir, "conversations").where(F.col("role").isin("user", "assistant"))
-        .select("conv_id", F.when(F.col("role") == "user", acts.PREFILL).otherwise(acts.DECODE).alias("kind"),
+        fx.table(spark, sf_dir, "conversations")
+        .select("conv_id", F.when(F.col("role") == "assistant", acts.DECODE).otherwise(acts.PREFILL).alias("kind"),
                 F.col("turn").alias("step"), F.md5("text").alias("h"))
     )
     out = None
     for mode in (acts.DECODE, acts.PREFILL, acts.PREFILL_DECODE):
-        part = acts.select_capture(rows, mode, ["conv_id"], contiguous=False).select(
+        part = acts.select_capture(rows, mode, ["conv_id"]).select(
             F.lit(mode).alias("mode"), "conv_id", "kind", "step", "h")
         out = part if out is None else out.unionByName(part)
     return out

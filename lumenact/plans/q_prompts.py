@@ -102,14 +102,17 @@ def p05(spark, sf_dir):
   FROM (SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS level, count(*) AS n,
           count(DISTINCT user_id) AS users FROM events GROUP BY event_type)""")
 def p06(spark, sf_dir):
+    return pr.levels_block(event_levels(spark, sf_dir))
+
+
+def event_levels(spark, sf_dir):
     """Event kinds in the place of levels."""
     kinds = fx.table(spark, sf_dir, "events").groupBy("event_type").agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("users"))
-    levels = kinds.select(
+    return kinds.select(
         (F.row_number().over(Window.orderBy("event_type")) - 1).alias("level"), F.col("event_type").alias("name"),
         F.format_string("%d events", "n").alias("description"),
         F.format_string("by %d users", "users").alias("instruction"))
-    return pr.levels_block(levels)
 
 
 @query("p07_user_prompts", with_ctes("batched taxonomy", """
@@ -224,4 +227,5 @@ SUMMARY_SQL = """
 
 @query("p14_run_summary", with_ctes("outcome", SUMMARY_SQL))
 def p14(spark, sf_dir):
-    return rp.run_summary(stage(_records(spark, sf_dir)))
+    return rp.run_summary(stage(_records(spark, sf_dir).select(
+        "_status", "subtopic", F.struct("_gen.batch_index").alias("_gen"))))

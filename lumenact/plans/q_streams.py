@@ -11,7 +11,7 @@ from . import fixtures as fx
 from .catalog import query
 from .oracle import with_ctes
 from .q_temporal import MIN_STEPS
-from .study import SEED, Study, encoded
+from .study import K, SEED, Study, encoded
 
 TARGET = 0.3
 CARRY = ("sample_id", "label", "layer", "step", "is_last")
@@ -19,7 +19,8 @@ CARRY = ("sample_id", "label", "layer", "step", "is_last")
 
 def _stream(spark, sf_dir, name):
     source = fx.table(spark, sf_dir, name)
-    return spark.readStream.schema(source.schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return spark.readStream.schema(source.schema).option("pathGlobFilter", f"{name}.parquet").option(
+        "maxFilesPerTrigger", 1).parquet(sf_dir)
 
 
 def _steps(spark, sf_dir):
@@ -39,7 +40,7 @@ def st02(spark, sf_dir):
     steps = with_split(_steps(spark, sf_dir).where(F.col("layer") == s.layer), s.cuts, SEED, ["label"])
     decisions = gr.guard(
         steps.where(F.col("split") == "test").drop("split"),
-        gr.collect_weights(s.weights), s.classes, TARGET, MIN_STEPS, fx.MAX_STEPS)
+        gr.collect_weights(s.weights, K), s.classes, TARGET, MIN_STEPS, fx.MAX_STEPS)
     return run.drain_append(decisions).drop("confidence")
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.sizes import bounded_side
 from ..operators import discover as dis
 from ..operators import dynamics as dyn
 from ..operators import encode as enc
@@ -19,6 +18,8 @@ from .study import RATIO, SEED, Study
 
 GRID = list(range(1, fx.MAX_STEPS + 1))
 SNAPSHOTS = tmp.snapshot_grid(2, fx.MAX_STEPS)
+# The steps at which example traces are reported.
+TRACE_STEPS = (1, 5, 10, 20, 30, 50, 75, 100, 150, 200, 300, 512)
 TARGETS = (0.2, 0.3, 0.5, 0.9, 0.95, 0.99)
 MIN_STEPS = 2
 LOCKIN_LEVEL = 0.2
@@ -123,10 +124,15 @@ def d09(spark, sf_dir):
   SELECT c.label, c.sample_id, c.t, c.confidence, c.pred, c.pred = c.label AS correct
   FROM curve c JOIN (SELECT label, min(sample_id) AS sample_id FROM test GROUP BY label) f
     ON f.sample_id = c.sample_id
-  WHERE c.t IN (1, 5, 10, 20, 30, 50, 75, 100, 150, 200, 300, 512)"""))
+  WHERE c.t IN {steps}""".replace("{steps}", str(TRACE_STEPS))))
 def d10(spark, sf_dir):
+    """Only the firings and samples that are shown go through the curve."""
     s = Study(spark, sf_dir)
-    return tmp.example_traces(s.curve(GRID), s.test, (1, 5, 10, 20, 30, 50, 75, 100, 150, 200, 300, 512))
+    shown = tmp.first_samples(s.test)
+    curve = tmp.confidence_curve(
+        s.picks(s.test_first).join(shown, "sample_id", "left_semi"), s.test.join(shown, "sample_id", "left_semi"),
+        s.weights, s.classes, GRID)
+    return tmp.example_traces(curve, TRACE_STEPS)
 
 
 # Snapshots count every sample, dead ones as never firing.
@@ -153,7 +159,7 @@ class Snapshots(Study):
 
     def __init__(self, spark, sf_dir):
         super().__init__(spark, sf_dir)
-        self.every_cuts = bounded_side(split_cuts(self.samples, RATIO, SEED, ["label"]))
+        self.every_cuts = split_cuts(self.samples, RATIO, SEED, ["label"])
 
     def every(self, df, split):
         return with_split(df, self.every_cuts, SEED, ["label"]).where(F.col("split") == split).drop("split")

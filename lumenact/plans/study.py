@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.sizes import bounded_side, small_table
+from ..functions.sizes import fetched
 from ..operators import corpus, discover, linear, temporal
 from ..operators.encode import JUMPRELU, TOPK, encode
 from ..session import stage
@@ -51,7 +51,7 @@ class Study:
 
     @cached_property
     def cuts(self) -> DataFrame:
-        return bounded_side(corpus.split_cuts(self.alive, RATIO, SEED, ["label"]))
+        return corpus.split_cuts(self.alive, RATIO, SEED, ["label"])
 
     def part(self, df: DataFrame, split: str) -> DataFrame:
         return corpus.with_split(df, self.cuts, SEED, ["label"]).where(F.col("split") == split).drop("split")
@@ -75,8 +75,8 @@ class Study:
     @cached_property
     def chosen(self) -> DataFrame:
         """The best layer's K features on the training split."""
-        return small_table(discover.discover(
-            self.train_first, self.train, K, fx.D_SAE, layers=fx.layer_frame(self.spark)))
+        return fetched(discover.discover(
+            self.train_first, self.train, K, fx.D_SAE, layers=fx.layer_frame(self.spark)), K)
 
     @cached_property
     def ids(self) -> list[int]:

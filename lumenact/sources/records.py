@@ -91,10 +91,11 @@ def write_manifest(spark: SparkSession, prefix: str, parts: Mapping[str, DataFra
 def latest_run(spark: SparkSession, folder: str) -> str:
     """Prefix of the run with the newest time stamp, whatever its model."""
     try:
-        files = spark.read.text(f"{folder}/*_meta.json", wholetext=True)
+        # Only paths are read: no byte of a manifest leaves the file.
+        files = spark.read.format("binaryFile").load(f"{folder}/*_meta.json")
     except AnalysisException as error:
         raise FileNotFoundError(f"no runs found in {folder}") from error
-    path = F.col("_metadata.file_path")
+    path = F.col("path")
     runs = files.select(path.alias("path"), F.regexp_extract(path, STAMP, 1).alias("stamp")).where("stamp != ''")
     newest = runs.agg(F.max_by("path", "stamp")).first()[0]
     if newest is None:

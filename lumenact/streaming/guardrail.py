@@ -17,65 +17,119 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..operators.linear import BIAS, DIGITS, TIE
 
 FIRED_SCHEMA = "sample_id long, layer int, label int, feature_id int, first_step int"
+MARK_TIMES = 10
 DECISION_SCHEMA = "sample_id long, label int, tokens int, pred int, confidence double, early boolean"
 
 
 class _InOrder(StatefulProcessor):
     """Hands the steps of one key to `advance` in order.
 
-    The state of a key is dropped with its last step. With `idle_ms`, state
-    not touched for that long is dropped as well.
+    Rows of one step that arrive together, or while the step still waits, are
+    one step: what fired is united. A step sent again after its turn is
+    ignored, and so is everything after the last step: a closed key keeps a
+    mark, so a file read twice changes nothing.
+
+    With `idle_ms`, a key that hears nothing for that long is closed by a timer,
+    which calls `expire`; its mark then lasts `MARK_TIMES` as long. Without it
+    marks stay, one boolean for each key.
     """
 
     progress_schema = "next_step int"
     idle_ms: int | None = None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.progress = handle.getValueState("progress", self.progress_schema, ttlDurationMs=self.idle_ms)
-        self.waiting = handle.getMapState(
-            "waiting", "step int", "label int, is_last boolean, fired array<int>", ttlDurationMs=self.idle_ms)
+        self.handle = handle
+        self.progress = handle.getValueState("progress", self.progress_schema)
+        self.waiting = handle.getMapState("waiting", "step int", "label int, is_last boolean, fired array<int>")
+        self.closed = handle.getValueState(
+            "closed", "closed boolean", ttlDurationMs=self.idle_ms and MARK_TIMES * self.idle_ms)
 
     def start(self) -> list:
+        """A fresh state: the next step, then whatever the processor keeps."""
         return [0]
 
-    def advance(self, state: list, key, step: int, label: int, fired, is_last: bool) -> list[tuple]:
-        raise NotImplementedError
+    def load(self, stored: tuple) -> list:
+        return list(stored)
+
+    def store(self, state: list) -> tuple:
+        return tuple(state)
+
+    def advance(self, state: list, key, step: int, label: int, fired: set, is_last: bool) -> list[tuple]:
+        """Rows that a step brings about; `state` changes in place."""
+        raise NotImplementedError(type(self).__name__)
+
+    def expire(self, state: list, key) -> list[tuple]:
+        """Rows for a key that is closed without its last step."""
+        return []
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        stored = self.progress.get() if self.progress.exists() else None
-        state = list(stored) if stored is not None else self.start()
-        arrived = {}
+        if self.closed.exists():
+            for _ in rows:
+                pass
+            return
+        state = self.load(self.progress.get()) if self.progress.exists() else self.start()
+        arrived: dict[int, list] = {}
         for frame in rows:
             for step, label, fired, is_last in zip(
-                    frame["step"], frame["label"], frame["fired"], frame["is_last"]):
+                    frame["step"].tolist(), frame["label"].tolist(), frame["fired"], frame["is_last"].tolist(), strict=True):
                 if step >= state[0]:
-                    arrived[int(step)] = (int(label), bool(is_last), [int(f) for f in fired])
+                    known = arrived.setdefault(step, [label, False, set()])
+                    known[1] |= is_last
+                    known[2].update(np.asarray(fired).tolist())
         out: list[tuple] = []
-        closed = False
-        while not closed:
+        while not self.closed.exists():
             step = state[0]
-            if step in arrived:
-                label, is_last, fired = arrived.pop(step)
-            elif self.waiting.containsKey((step,)):
-                label, is_last, fired = self.waiting.getValue((step,))
+            ready = arrived.pop(step, None)
+            if self.waiting.containsKey((step,)):
+                ready = self._united(ready, self.waiting.getValue((step,)))
                 self.waiting.removeKey((step,))
-            else:
+            if ready is None:
                 break
             state[0] = step + 1
-            out.extend(self.advance(state, key, step, int(label), fired, bool(is_last)))
-            closed = bool(is_last)
-        if closed:
-            self.progress.clear()
-            self.waiting.clear()
-        else:
+            out.extend(self.advance(state, key, step, int(ready[0]), ready[2], bool(ready[1])))
+            if ready[1]:
+                self._close()
+        if not self.closed.exists():
             for step, value in arrived.items():
-                self.waiting.updateValue((step,), value)
-            self.progress.update(tuple(state))
+                if self.waiting.containsKey((step,)):
+                    value = self._united(value, self.waiting.getValue((step,)))
+                self.waiting.updateValue((step,), (int(value[0]), bool(value[1]), sorted(value[2])))
+            self.progress.update(self.store(state))
+            self._wait(timerValues)
         if out:
             yield self.frame(out)
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.closed.exists():
+            return
+        state = self.load(self.progress.get()) if self.progress.exists() else self.start()
+        out = self.expire(state, key)
+        self._close()
+        if out:
+            yield self.frame(out)
+
+    @staticmethod
+    def _united(one, other) -> list:
+        if one is None:
+            return [other[0], other[1], set(other[2])]
+        return [one[0], one[1] or other[1], set(one[2]) | set(other[2])]
+
+    def _wait(self, timerValues) -> None:
+        if self.idle_ms is not None:
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+
+    def _close(self) -> None:
+        self.closed.update((True,))
+        self.progress.clear()
+        self.waiting.clear()
+        if self.idle_ms is not None:
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old)
+
     def frame(self, rows: list[tuple]) -> pd.DataFrame:
-        raise NotImplementedError
+        raise NotImplementedError(type(self).__name__)
 
     def close(self) -> None:
         pass
@@ -90,11 +144,17 @@ class FirstFireTracker(_InOrder):
         self.idle_ms = idle_ms
 
     def start(self) -> list:
-        return [0, []]
+        return [0, set()]
+
+    def load(self, stored):
+        return [stored[0], set(stored[1])]
+
+    def store(self, state):
+        return state[0], sorted(state[1])
 
     def advance(self, state, key, step, label, fired, is_last):
-        fresh = sorted(set(fired) - set(state[1]))
-        state[1] = list(state[1]) + fresh
+        fresh = sorted(fired - state[1])
+        state[1] |= fired
         return [(int(key[0]), int(key[1]), label, f, step) for f in fresh]
 
     def frame(self, rows):
@@ -102,9 +162,13 @@ class FirstFireTracker(_InOrder):
 
 
 class Guardrail(_InOrder):
-    """Decides once per sample: early when sure enough, else at its end."""
+    """Decides once per sample: early when sure enough, else at its end.
+
+    A sample that falls silent gets the decision of its end: `max_steps` and
+    what its steps so far say.
+    """
 
-    progress_schema = "next_step int, seen array<int>, scores array<double>, decided boolean"
+    progress_schema = "next_step int, label int, seen array<int>, scores array<double>, decided boolean"
 
     def __init__(
         self, weights: dict, classes: Sequence[int], target: float, min_steps: int, max_steps: int,
@@ -118,22 +182,28 @@ class Guardrail(_InOrder):
         self.max_steps = max_steps
 
     def start(self) -> list:
-        return [0, [], [float(b) for b in self.weights[BIAS]], False]
+        return [0, None, set(), self.weights[BIAS].astype(float), False]
 
-    def _judge(self, scores) -> tuple[int, float]:
-        scores = np.asarray(scores)
+    def load(self, stored):
+        return [stored[0], stored[1], set(stored[2]), np.asarray(stored[3], dtype=float), stored[4]]
+
+    def store(self, state):
+        return state[0], state[1], sorted(state[2]), state[3].tolist(), state[4]
+
+    def _judge(self, scores: np.ndarray) -> tuple[int, float]:
         powers = np.exp(scores - scores.max())
         best = int(np.argmax(scores >= scores.max() - TIE))
         return self.classes[best], round(float(powers.max() / powers.sum()), DIGITS)
 
     def advance(self, state, key, step, label, fired, is_last):
-        if state[3]:
+        state[1] = label
+        if state[4]:
             return []
-        seen = set(state[1])
-        fresh = [f for f in fired if f in self.weights and f not in seen]
-        state[1] = list(state[1]) + fresh
-        state[2] = (np.asarray(state[2]) + sum((self.weights[f] for f in fresh), 0.0)).tolist()
-        pred, confidence = self._judge(state[2])
+        fresh = [f for f in fired if f in self.weights and f not in state[2]]
+        state[2].update(fresh)
+        for f in sorted(fresh):
+            state[3] = state[3] + self.weights[f]
+        pred, confidence = self._judge(state[3])
         t = step + 1
         sure = confidence >= self.target
         # After its last step a sample keeps its score, so a short one may
@@ -144,16 +214,22 @@ class Guardrail(_InOrder):
             tokens, early = self.max_steps, False
         else:
             return []
-        state[1], state[2], state[3] = [], [], True
+        state[2], state[3], state[4] = set(), np.zeros(0), True
         return [(int(key[0]), label, tokens, pred, confidence, early)]
 
+    def expire(self, state, key):
+        if state[4]:
+            return []
+        pred, confidence = self._judge(state[3])
+        return [(int(key[0]), state[1], self.max_steps, pred, confidence, False)]
+
     def frame(self, rows):
         return pd.DataFrame(rows, columns=["sample_id", "label", "tokens", "pred", "confidence", "early"])
 
 
 def _run(grouped, processor: _InOrder, schema: str) -> DataFrame:
-    # Eviction by time needs the clock, and with it a stream that goes on:
-    # run to the end of its input, such a stream would keep making batches.
+    # Timers need the clock, and with it a stream that goes on: run to the end
+    # of its input, such a stream would keep making batches.
     return grouped.transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=schema, outputMode="Append",
         timeMode="None" if processor.idle_ms is None else "ProcessingTime")
@@ -177,9 +253,9 @@ def guard(
     return _run(steps.groupBy("sample_id"), processor, DECISION_SCHEMA)
 
 
-def collect_weights(weights: DataFrame, max_features: int = 10_000) -> dict[int, list[float]]:
-    """A weight table as a dictionary; its rows are the chosen features."""
-    rows = weights.limit(max_features + 1).collect()
-    if len(rows) > max_features:
-        raise ValueError("too many features for one model")
+def collect_weights(weights: DataFrame, k: int) -> dict[int, list[float]]:
+    """A weight table as a dictionary: the k chosen features and the bias."""
+    rows = weights.limit(k + 2).collect()
+    if len(rows) > k + 1:
+        raise ValueError(f"expected the weights of at most {k} features")
     return {int(r["feature_id"]): list(r["w"]) for r in rows}

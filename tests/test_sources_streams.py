@@ -108,7 +108,7 @@ def test_streams_equal_batch(spark, tmp_path, shuffled):
     samples = batch.select("sample_id", "label").distinct()
     curve = temporal.confidence_curve(first, samples, weights, [0, 1], [1, 2, 3, 4, 5, 6])
     want = temporal.early_stop(curve, [0.75], 2, 6).select("sample_id", "label", "tokens", "pred")
-    decided = run.drain_append(gr.guard(stream, gr.collect_weights(weights), [0, 1], 0.75, 2, 6))
+    decided = run.drain_append(gr.guard(stream, gr.collect_weights(weights, 10), [0, 1], 0.75, 2, 6))
     assert sorted(decided.select("sample_id", "label", "tokens", "pred").collect()) == sorted(want.collect())
 
 
