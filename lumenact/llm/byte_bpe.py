@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .tables import per_process
 
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 400_000
 _WORD_BITS = 8
 _NONE = -1
 
@@ -60,9 +60,6 @@ class Encoder:
         self.ranks = ranks
         self.split = regex.compile(pattern)
         self.size = max(ranks.values()) + 1
-        self.pieces = [b""] * self.size
-        for piece, rank in ranks.items():
-            self.pieces[rank] = piece
         self.pairs = {
             ranks[piece[:k]] * self.size + ranks[piece[k:]]: rank
             for piece, rank in ranks.items() for k in range(1, len(piece))
@@ -71,7 +68,6 @@ class Encoder:
         self.byte_pairs = np.array([
             [self.pairs.get(int(a) * self.size + int(b), _NONE) for b in self.bytes] for a in self.bytes])
         self.known: dict[str, bytes] = {}
-        self.lengths = np.array([len(p) for p in self.pieces])
 
     def learn(self, tokens: Iterable[str]) -> None:
         """Encode pre-tokens that are not yet known; the memory is bounded."""
@@ -170,6 +166,15 @@ class Encoder:
         known = self.known
         return [b"".join([known[token] for token in tokens]) for tokens in split]
 
+
+class Decoder:
+    """The vocabulary's byte strings by id."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.pieces = [b""] * (max(ranks.values()) + 1)
+        for piece, rank in ranks.items():
+            self.pieces[rank] = piece
+
     def decode(self, ids: bytes) -> bytes:
         pieces = self.pieces
         return b"".join([pieces[i] for i in np.frombuffer(ids, dtype="<u4").tolist()])
@@ -180,16 +185,22 @@ def parse_ranks(content: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, content.splitlines()) if a}
 
 
+def read_ranks(path: str) -> dict[bytes, int]:
+    """A rank file that is part of the installation of every node."""
+    with open(path, "rb") as file:
+        return parse_ranks(file.read())
+
+
 def load(path: str, pattern: str) -> Encoder:
-    """One encoder per worker process; the file is part of the installation of every node."""
-    def read() -> Encoder:
-        with open(path, "rb") as file:
-            return Encoder(parse_ranks(file.read()), pattern)
+    """One encoder per worker process."""
+    return per_process(("bpe", path, pattern), lambda: Encoder(read_ranks(path), pattern))
 
-    return per_process(("bpe", path, pattern), read)
 
+def load_decoder(path: str) -> Decoder:
+    return per_process(("bpe decoder", path), lambda: Decoder(read_ranks(path)))
 
-ROWS_AT_ONCE = 1 << 21
+
+CHARS_AT_ONCE = 1 << 20
 
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
@@ -201,21 +212,21 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Itera
         for k, value in enumerate(texts):
             part.append(value.as_py() or "")
             size += len(part[-1])
-            if size >= ROWS_AT_ONCE or k + 1 == len(texts):
+            if size >= CHARS_AT_ONCE or k + 1 == len(texts):
                 ids = encoder.encode_all(part)
                 yield pa.RecordBatch.from_arrays(
                     [names.slice(start, len(part)), pa.array(ids, pa.binary())], names=["id", "ids"])
                 start, size, part = k + 1, 0, []
 
 
-def _digest(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
-    encoder = load(path, pattern)
+def _digest(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    decoder = load_decoder(path)
     for batch in batches:
         ids = batch.column("ids").to_pylist()
         yield pa.RecordBatch.from_arrays([
             batch.column("id"), pa.array([len(x) // 4 for x in ids], pa.int64()),
             pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
-            pa.array([hashlib.sha256(encoder.decode(x)).hexdigest() for x in ids], pa.string()),
+            pa.array([hashlib.sha256(decoder.decode(x)).hexdigest() for x in ids], pa.string()),
         ], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
@@ -237,5 +248,5 @@ def round_trip_digests(
 ) -> DataFrame:
     """Encode, decode the ids again, and digest both; same cases as `encode`."""
     return encode(docs, path, pattern, id_col, text_col).mapInArrow(
-        lambda b: _digest(b, path, pattern),
+        lambda b: _digest(b, path),
         "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
