@@ -29,8 +29,8 @@ PRIOR_WEIGHT = 1.0
 BASE_ADD = 0.1
 WORDS_AT_ONCE = 4096
 BYTES_AT_ONCE = 1 << 18
-COMBINE_ROWS = 1_000_000
-SLICE_BYTES = 4 << 20
+COMBINE_ROWS = 400_000
+SLICE_BYTES = 2 << 20
 _SPACE = b" "
 
 
