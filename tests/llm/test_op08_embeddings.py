@@ -14,7 +14,8 @@ def brute(rows, cosine=0.98):
         if i is None:
             continue
         ok = v is not None and len(v) and all(x is not None and np.isfinite(x) for x in v) and any(v) and label is not None
-        kept[i] = (label, np.array(v, dtype=float)) if ok else None
+        x = np.array(v, dtype=float) if ok else None
+        kept[i] = (label, x / np.abs(x).max()) if ok else None
     ids = sorted(kept)
     root = {i: i for i in ids}
     links = dict.fromkeys(ids, 0)
