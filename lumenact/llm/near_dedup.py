@@ -12,10 +12,12 @@ make up for the paths that end.
 
 Pairs are found on signatures and then confirmed on full shingle sets. To
 return components it is enough to confirm links between documents that are not
-yet known to be connected. So equal sets are joined into one class first, each
-class is then tried against the first class of its nodes, and only classes that
-this leaves apart are compared pair by pair. A group of copies, however large,
-thus costs rows in proportion to its size.
+yet known to be connected. So equal sets are joined into one class first; each
+class is then tried against the first class of its nodes, then against the few
+most similar ones, and only classes that this leaves apart are compared pair by
+pair. In a node, the largest component's members are never compared with each
+other. A group of copies, however large, thus costs rows in proportion to its
+size. A pair that several trees find is handed on by the first of them.
 """
 
 from __future__ import annotations
@@ -33,8 +35,9 @@ from .tables import shared_table
 
 COORDINATES = 128
 TREES = 8
-NODE_LIMIT = 2048
+NODE_LIMIT = 1024
 MAX_DEPTH = 4
+BEST = 8
 ID_BUCKETS = 1 << 20
 
 _MULTIPLY = text_hash.stream(101, COORDINATES) | np.uint64(1)
@@ -135,17 +138,18 @@ def _branch(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
             child = text_hash.mix(text_hash.mix(node[rows] + token) + np.uint64(k))
             part = batch.take(pa.array(rows))
             yield pa.RecordBatch.from_arrays(
-                [part.column("tree"), _signed(child), *[part.column(c) for c in ("id", "n_shingles", "signature", "component")]],
-                names=["tree", "node", "id", "n_shingles", "signature", "component"])
+                [part.column("tree"), _signed(child), *[part.column(c) for c in _CARRIED]], names=["tree", "node", *_CARRIED])
 
 
-_MEMBERS = "tree int, node long, id long, n_shingles long, signature binary, component long"
+_CARRIED = ["id", "n_shingles", "signature", "roots", "done", "component"]
+_MEMBERS = "tree int, node long, id long, n_shingles long, signature binary, roots binary, done int, component long"
+_NODE = ["tree", "node"]
+_GROUP = [*_NODE, "kind", "low", "high"]
 
 
-_GROUP = ["tree", "node", "low", "high"]
-
-
-def _compare(batches: Iterator[pa.RecordBatch], enough: int, percent: int) -> Iterator[pa.RecordBatch]:
+def _compare(
+    batches: Iterator[pa.RecordBatch], enough: int, percent: int, best: int | None
+) -> Iterator[pa.RecordBatch]:
     """Pairs that may be similar, of sorted groups; only unfinished groups wait for the next batch."""
     rest = None
     for batch in batches:
@@ -154,10 +158,10 @@ def _compare(batches: Iterator[pa.RecordBatch], enough: int, percent: int) -> It
         group = _group_numbers(table)
         done = int(np.searchsorted(group, group[-1])) if len(group) else 0
         if done:
-            yield _similar(table.slice(0, done), group[:done], enough, percent)
+            yield _similar(table.slice(0, done), group[:done], enough, percent, best)
         rest = table.slice(done)
     if rest is not None and rest.num_rows:
-        yield _similar(rest, _group_numbers(rest), enough, percent)
+        yield _similar(rest, _group_numbers(rest), enough, percent, best)
 
 
 def _group_numbers(table: pa.Table) -> np.ndarray:
@@ -168,26 +172,44 @@ def _group_numbers(table: pa.Table) -> np.ndarray:
     return np.cumsum(change)
 
 
-def _similar(table: pa.Table, group: np.ndarray, enough: int, percent: int) -> pa.RecordBatch:
-    """Each row against the rows 1, 2, 3, ... places below it in its group, all groups at once."""
+def _similar(table: pa.Table, group: np.ndarray, enough: int, percent: int, best: int | None) -> pa.RecordBatch:
+    """Each row against the rows 1, 2, 3, ... places below it in its group, all groups at once.
+
+    With `best`, each row hands on only that many of its most similar pairs.
+    """
     sig = _matrix(table.column("signature").combine_chunks())
-    ids, size, comp = (table.column(c).to_numpy() for c in ("id", "n_shingles", "component"))
-    left, right = (table.column(c).to_numpy() for c in ("left", "right"))
-    found = [np.zeros((0, 2), dtype=np.int64)]
+    roots = np.frombuffer(b"".join(table.column("roots").to_pylist()), dtype=np.uint32).reshape(len(sig), -1)
+    ids, size, comp, tree, done = (table.column(c).to_numpy() for c in ("id", "n_shingles", "component", "tree", "done"))
+    left, right, deep = (table.column(c).to_numpy() for c in ("left", "right", "deep"))
+    trees = np.arange(roots.shape[1])
+    one, other, equal = [], [], []
     rows, lag = np.arange(len(ids) - 1), 1
     while len(rows):
         rows = rows[rows + lag < len(ids)]
         rows = rows[group[rows] == group[rows + lag]]
         below = rows + lag
         lag += 1
-        try_ = (comp[rows] != comp[below]) & ((left[rows] & right[below]) | (right[rows] & left[below]))
-        try_ &= 100 * np.minimum(size[rows], size[below]) >= percent * np.maximum(size[rows], size[below])
-        i, j = rows[try_], below[try_]
-        near = (sig[i] == sig[j]).sum(axis=1) >= enough
-        a, b = ids[i[near]], ids[j[near]]
-        if len(a):
-            found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
-    pairs = np.unique(np.concatenate(found), axis=0)
+        open_ = (comp[rows] != comp[below]) & ((left[rows] & right[below]) | (right[rows] & left[below]))
+        open_ &= 100 * np.minimum(size[rows], size[below]) >= percent * np.maximum(size[rows], size[below])
+        i, j = rows[open_], below[open_]
+        same = (sig[i] == sig[j]).sum(axis=1)
+        near = same >= enough
+        i, j, same = i[near], j[near], same[near]
+        # Another tree's node that is compared as a whole has the pair, too.
+        whole = (roots[i] == roots[j]) & ((done[i][:, None] >> trees) & 1 == 1)
+        fresh = ~(whole & (deep[i][:, None] | (trees < tree[i][:, None]))).any(axis=1)
+        one.append(i[fresh])
+        other.append(j[fresh])
+        equal.append(same[fresh])
+    i, j, same = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (one, other, equal))
+    if best is not None and len(i):
+        ends, partner, strength = np.concatenate([i, j]), np.tile(np.arange(len(i)), 2), np.tile(same, 2)
+        order = np.lexsort((partner, -strength, ends))
+        place = np.arange(len(order)) - np.searchsorted(ends[order], ends[order])
+        chosen = np.unique(partner[order[place < best]])
+        i, j = i[chosen], j[chosen]
+    pairs = np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], axis=1)
+    pairs = np.unique(pairs, axis=0)
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
@@ -239,21 +261,31 @@ def confirmed(pairs: DataFrame, heads: DataFrame, texts: DataFrame, size: int, p
 
 
 def _blocks(members: DataFrame, limit: int) -> DataFrame:
-    """Split nodes into blocks of about `limit` rows and pair the blocks.
-
-    Every pair of blocks of a node is one group: its rows are marked as left,
-    right or both. A node within the limit is one group.
+    """Cut nodes into groups of at most about two times `limit` rows.
+
+    A node's minor members, those outside its largest component, are cut into
+    blocks; each pair of these blocks is a group (kind 0), and so is each of
+    them with each block of the major members (kind 1). Rows are marked as
+    left, right or both, and only left is compared with right. So members of
+    the largest component, however many, are copied once for each block of
+    minor ones, and a node within the limit is one or two groups.
     """
-    sizes = members.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("n"))
-    many = F.ceil(F.col("n") / F.lit(limit)).cast("int")
-    own = F.pmod(F.xxhash64("id"), F.col("many")).cast("int")
-    placed = members.join(sizes, ["tree", "node"]).withColumn("many", many).withColumn("own", own)
-    partner = F.explode(F.sequence(F.lit(0), F.col("many") - 1)).alias("partner")
-    spread = placed.select("*", partner)
-    low, high = F.least("own", "partner"), F.greatest("own", "partner")
-    return spread.select(
-        "tree", "node", low.alias("low"), high.alias("high"), "id", "n_shingles", "signature", "component",
-        (F.col("own") == low).alias("left"), (F.col("own") == high).alias("right"))
+    parts = F.greatest(F.ceil(F.col("n_minor") / F.lit(limit)), F.lit(1)).cast("int")
+    major_parts = F.greatest(F.ceil(F.col("n_major") / F.lit(limit)), F.lit(1)).cast("int")
+    placed = members.withColumns({"parts": parts, "major_parts": major_parts}).withColumn(
+        "own", F.pmod(F.xxhash64("id"), F.when(F.col("is_major"), F.col("major_parts")).otherwise(F.col("parts"))).cast("int"))
+
+    def group(kind: int, rows: DataFrame, over: str, low, high, left, right) -> DataFrame:
+        spread = rows.select("*", F.explode(F.sequence(F.lit(0), F.col(over) - 1)).alias("other"))
+        return spread.select(
+            *_NODE, F.lit(kind).alias("kind"), low.alias("low"), high.alias("high"), *_CARRIED, "deep",
+            left.alias("left"), right.alias("right"))
+
+    own, other, yes, no = F.col("own"), F.col("other"), F.lit(True), F.lit(False)
+    minor, major = placed.where(~F.col("is_major")), placed.where("is_major")
+    return group(0, minor, "parts", F.least(own, other), F.greatest(own, other), own <= other, own >= other).unionByName(
+        group(1, minor, "major_parts", own, other, yes, no)).unionByName(
+        group(1, major, "parts", other, own, no, yes))
 
 
 def least_equal(percent: int) -> int:
@@ -300,11 +332,10 @@ def near_duplicates(
 
     # The root's choices; documents alone in their node drop out before signatures travel.
     rows = heads.mapInArrow(lambda b: _tokens(b, trees), "tree int, node long, id long, n_shingles long")
-    nodes = rows.groupBy("tree", "node").agg(
+    nodes = rows.groupBy(*_NODE).agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "n_shingles")).alias("first")).where("n > 1")
     members = shared_table(rows.join(nodes.select(
-        "tree", "node", F.col("first.id").alias("pivot"), F.col("first.n_shingles").alias("n_pivot")),
-        ["tree", "node"]), "members")
+        *_NODE, F.col("first.id").alias("pivot"), F.col("first.n_shingles").alias("n_pivot")), _NODE), "members")
 
     # First: each document against the first one of its nodes.
     enough = least_equal(percent)
@@ -314,14 +345,16 @@ def near_duplicates(
     tries = tries.select("id", "pivot").distinct().join(marks, "id").join(
         marks.select(F.col("id").alias("pivot"), F.col("signature").alias("pivot_signature")), "pivot")
     tries = shared_table(tries.mapInArrow(lambda b: _likely(b, enough), "a long, b long"), "tries")
-    first = shared_table(confirmed(tries, heads, renamed, size, percent), "first")
-
-    # Then: whoever is still apart, inside small nodes and blocks of large ones.
-    apart = members.select("tree", "node", "id", "n_shingles").join(components(first), "id", "left").withColumn(
-        "component", F.coalesce("component", "id"))
-    pairs = _search(apart, marks, enough, percent, node_limit)
-    second = shared_table(confirmed(pairs, heads, renamed, size, percent), "second")
-    links = first.union(second)
+    links = shared_table(confirmed(tries, heads, renamed, size, percent), "links")
+
+    # Then whoever is still apart: against the most similar ones, and last against all the rest.
+    marks = heads.select("id", "signature", "roots")
+    for best in (BEST, None):
+        apart = members.select(*_NODE, "id", "n_shingles").join(components(links), "id", "left").withColumn(
+            "component", F.coalesce("component", "id"))
+        pairs = _search(apart, marks, enough, percent, node_limit, best)
+        more = shared_table(confirmed(pairs, heads, renamed, size, percent), "links")
+        links = links.unionByName(more)
     reached = components(links).select(F.col("id").alias("class_id"), "component")
     classes = classes.join(reached, "class_id", "left").select(
         *_SET, F.coalesce("component", "class_id").alias("component_id"))
@@ -342,32 +375,40 @@ def _likely(batches: Iterator[pa.RecordBatch], enough: int) -> Iterator[pa.Recor
 
 
 def _mixed(members: DataFrame) -> DataFrame:
-    """Members of nodes that hold more than one component, with the node's size."""
-    sizes = members.groupBy("tree", "node").agg(
-        F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
-    return members.join(sizes.where("low < high").select("tree", "node", "n"), ["tree", "node"])
+    """Members of nodes that hold several components, and what is known of the node."""
+    sizes = members.groupBy(*_NODE, "component").agg(F.count(F.lit(1)).alias("n"))
+    nodes = sizes.groupBy(*_NODE).agg(
+        F.count(F.lit(1)).alias("components"), F.max(F.struct("n", "component")).alias("major"), F.sum("n").alias("n"))
+    nodes = nodes.where("components > 1").select(
+        *_NODE, F.col("major.component").alias("major"), F.col("major.n").alias("n_major"),
+        (F.col("n") - F.col("major.n")).alias("n_minor"))
+    return members.join(nodes, _NODE).withColumn("is_major", F.col("component") == F.col("major")).drop("major")
 
 
 def _search(
-    members: DataFrame, marks: DataFrame, enough: int, percent: int, node_limit: int
+    members: DataFrame, marks: DataFrame, enough: int, percent: int, node_limit: int, best: int | None
 ) -> DataFrame:
     """Candidate pairs (a, b) of different components from all trees."""
-    level = _mixed(members).join(marks, "id")
+    level = shared_table(_mixed(members), "level")
+    small = F.col("n_minor") <= node_limit
+    # In which trees a document's root node is compared as a whole.
+    done = level.groupBy("id").agg(
+        F.bit_or(F.when(small, F.expr("shiftleft(1, tree)")).otherwise(F.lit(0))).alias("done"))
+    level = level.join(done, "id").join(marks, "id")
     ready = []
     for depth in range(MAX_DEPTH + 1):
-        level = shared_table(level, "level")
+        level = shared_table(level.withColumn("deep", F.lit(depth > 0)), "level")
         last = depth == MAX_DEPTH
-        ready.append((level if last else level.where(F.col("n") <= node_limit)).drop("n"))
-        large = level.where(F.col("n") > node_limit)
+        ready.append(level if last else level.where(small))
+        large = level.where(~small)
         if last or large.isEmpty():
             break
-        level = _mixed(large.select("tree", "node", "id", "n_shingles", "signature", "component").mapInArrow(
-            lambda b: _branch(b, percent), _MEMBERS))
+        level = _mixed(large.select(*_NODE, *_CARRIED).mapInArrow(lambda b: _branch(b, percent), _MEMBERS))
     whole = ready[0]
     for more in ready[1:]:
         whole = whole.unionByName(more)
     grouped = _blocks(whole, node_limit).repartition(*_GROUP).sortWithinPartitions(*_GROUP)
-    pairs = grouped.mapInArrow(lambda b: _compare(b, enough, percent), "a long, b long")
+    pairs = grouped.mapInArrow(lambda b: _compare(b, enough, percent, best), "a long, b long")
     return shared_table(pairs.distinct(), "pairs")
 
 
