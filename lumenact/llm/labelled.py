@@ -55,7 +55,7 @@ class Lookup:
 
 
 def row_sums(docs: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    return np.bincount(docs, weights=values, minlength=n)
+    return np.bincount(docs, weights=values, minlength=n).astype(np.float64)  # whole numbers if empty
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

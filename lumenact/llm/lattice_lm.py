@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text_hash
+from .labelled import row_sums
 from .tables import per_process, shared_table
 
 HEAD_WORDS = 1 << 19
@@ -283,7 +284,7 @@ def _sum_rows(batches: Iterator[pa.RecordBatch], head) -> Iterator[pa.RecordBatc
             hit = keys[place] == hashes if len(keys) else np.zeros(len(hashes), dtype=bool)
             values = [np.where(hit, v[place], 0.0)[at] if len(keys) else np.zeros(len(at))
                       for v in (base, marginal, known)]
-            sums = [np.bincount(found.docs, weights=v, minlength=n) for v in values]
+            sums = [row_sums(found.docs, v, n) for v in values]
             row = start_row + np.arange(n)
             start_row += n
             ids = batch.column("id").slice(start, n)
