@@ -13,11 +13,13 @@ make up for the paths that end.
 Pairs are found on signatures and then confirmed on full shingle sets. To
 return components it is enough to confirm links between documents that are not
 yet known to be connected. So equal sets are joined into one class first; each
-class is then tried against the first class of its nodes, then against the few
-most similar ones, and only classes that this leaves apart are compared pair by
-pair. In a node, the largest component's members are never compared with each
-other. A group of copies, however large, thus costs rows in proportion to its
-size. A pair that several trees find is handed on by the first of them.
+class is then tried against the first class of its nodes, and only classes that
+this leaves apart are compared pair by pair. In a node, the largest component's
+members are never compared with each other. The pairs are confirmed where they
+are found, in the task that holds a block of a node and its members' sets, most
+similar ones first, and only links that connect something new leave it. A group
+of copies, however large, thus costs rows in proportion to its size. A pair that
+several trees find is confirmed by the first of them.
 """
 
 from __future__ import annotations
@@ -35,9 +37,8 @@ from .tables import shared_table
 
 COORDINATES = 128
 TREES = 8
-NODE_LIMIT = 1024
+NODE_LIMIT = 512
 MAX_DEPTH = 4
-BEST = 8
 ID_BUCKETS = 1 << 20
 
 _MULTIPLY = text_hash.stream(101, COORDINATES) | np.uint64(1)
@@ -147,10 +148,8 @@ _NODE = ["tree", "node"]
 _GROUP = [*_NODE, "kind", "low", "high"]
 
 
-def _compare(
-    batches: Iterator[pa.RecordBatch], enough: int, percent: int, best: int | None
-) -> Iterator[pa.RecordBatch]:
-    """Pairs that may be similar, of sorted groups; only unfinished groups wait for the next batch."""
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Whole groups of sorted rows and their numbers; only an unfinished one waits for the next batch."""
     rest = None
     for batch in batches:
         table = pa.Table.from_batches([batch])
@@ -158,10 +157,10 @@ def _compare(
         group = _group_numbers(table)
         done = int(np.searchsorted(group, group[-1])) if len(group) else 0
         if done:
-            yield _similar(table.slice(0, done), group[:done], enough, percent, best)
+            yield table.slice(0, done), group[:done]
         rest = table.slice(done)
     if rest is not None and rest.num_rows:
-        yield _similar(rest, _group_numbers(rest), enough, percent, best)
+        yield rest, _group_numbers(rest)
 
 
 def _group_numbers(table: pa.Table) -> np.ndarray:
@@ -172,20 +171,23 @@ def _group_numbers(table: pa.Table) -> np.ndarray:
     return np.cumsum(change)
 
 
-def _similar(table: pa.Table, group: np.ndarray, enough: int, percent: int, best: int | None) -> pa.RecordBatch:
-    """Each row against the rows 1, 2, 3, ... places below it in its group, all groups at once.
+def _likely_pairs(
+    table: pa.Table, group: np.ndarray, enough: int, percent: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows that may be similar and are not connected, and their equal coordinates.
 
-    With `best`, each row hands on only that many of its most similar pairs.
+    Each row meets the rows 1, 2, 3, ... places below it in its group, all
+    groups at once.
     """
     sig = _matrix(table.column("signature").combine_chunks())
     roots = np.frombuffer(b"".join(table.column("roots").to_pylist()), dtype=np.uint32).reshape(len(sig), -1)
-    ids, size, comp, tree, done = (table.column(c).to_numpy() for c in ("id", "n_shingles", "component", "tree", "done"))
+    size, comp, tree, done = (table.column(c).to_numpy() for c in ("n_shingles", "component", "tree", "done"))
     left, right, deep = (table.column(c).to_numpy() for c in ("left", "right", "deep"))
     trees = np.arange(roots.shape[1])
     one, other, equal = [], [], []
-    rows, lag = np.arange(len(ids) - 1), 1
+    rows, lag = np.arange(len(size) - 1), 1
     while len(rows):
-        rows = rows[rows + lag < len(ids)]
+        rows = rows[rows + lag < len(size)]
         rows = rows[group[rows] == group[rows + lag]]
         below = rows + lag
         lag += 1
@@ -201,16 +203,42 @@ def _similar(table: pa.Table, group: np.ndarray, enough: int, percent: int, best
         one.append(i[fresh])
         other.append(j[fresh])
         equal.append(same[fresh])
-    i, j, same = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (one, other, equal))
-    if best is not None and len(i):
-        ends, partner, strength = np.concatenate([i, j]), np.tile(np.arange(len(i)), 2), np.tile(same, 2)
-        order = np.lexsort((partner, -strength, ends))
-        place = np.arange(len(order)) - np.searchsorted(ends[order], ends[order])
-        chosen = np.unique(partner[order[place < best]])
-        i, j = i[chosen], j[chosen]
-    pairs = np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], axis=1)
-    pairs = np.unique(pairs, axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+    return tuple(np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (one, other, equal))
+
+
+def _with_partner(batches: Iterator[pa.RecordBatch], enough: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """The rows of sorted groups that are part of a likely pair."""
+    for table, group in _groups(batches):
+        i, j, _ = _likely_pairs(table, group, enough, percent)
+        kept = table.take(pa.array(np.unique(np.concatenate([i, j]))))
+        yield from kept.combine_chunks().to_batches()
+
+
+def _linked(batches: Iterator[pa.RecordBatch], enough: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Confirmed links of sorted groups, most similar pairs first; pairs already connected are skipped."""
+    for table, group in _groups(batches):
+        i, j, same = _likely_pairs(table, group, enough, percent)
+        order = np.lexsort((same * -1, group[i]))
+        sets = [np.frombuffer(s.as_buffer(), dtype=np.uint64) for s in table.column("set")]
+        ids, comp = table.column("id").to_numpy().tolist(), table.column("component").to_numpy().tolist()
+        root: dict[tuple[int, int], tuple[int, int]] = {}
+
+        def find(key: tuple[int, int]) -> tuple[int, int]:
+            while key in root:
+                key = root[key]
+            return key
+
+        links = []
+        for a, b in zip(i[order].tolist(), j[order].tolist(), strict=True):
+            one, other = find((group[a], comp[a])), find((group[b], comp[b]))
+            if one == other:
+                continue
+            both, either = _jaccard_counts(sets[a], sets[b])
+            if 100 * both >= percent * either:
+                links.append((ids[a], ids[b]))
+                root[max(one, other)] = min(one, other)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], names=["a", "b"])
 
 
 def _jaccard_counts(one: np.ndarray, other: np.ndarray) -> tuple[int, int]:
@@ -239,20 +267,25 @@ def _full_sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Reco
                  pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", *_SET, "set"])
 
 
-def confirmed(pairs: DataFrame, heads: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach the similarity.
+def full_sets(ids: DataFrame, heads: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """(id, set) of the given ids, from `texts` (id, text), which is read again.
 
-    `texts` (id, text) is read again. A semi join on ID_BUCKETS hash buckets at
-    most, small enough for a broadcast, drops most documents without a pair
-    before anything is shuffled; an exact semi join follows.
+    A semi join on ID_BUCKETS hash buckets at most, small enough for a
+    broadcast, drops most other documents before anything is shuffled; an exact
+    semi join follows.
     """
-    wanted = heads.select("id", *_SET).join(
-        pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "id", "left_semi")
+    wanted = heads.select("id", *_SET).join(ids.distinct(), "id", "left_semi")
     bucket = F.pmod(F.xxhash64("id"), F.lit(ID_BUCKETS))
     near = wanted.select(bucket.alias("bucket")).distinct()
     sets = texts.withColumn("bucket", bucket).join(F.broadcast(near), "bucket", "left_semi").select("id", "text")
     sets = sets.mapInArrow(lambda batches: _full_sets(batches, size), "id long, n_shingles long, sum long, xor long, set binary")
-    sets = shared_table(sets.join(wanted, ["id", *_SET], "left_semi").select("id", "set"), "sets")
+    return shared_table(sets.join(wanted, ["id", *_SET], "left_semi").select("id", "set"), "sets")
+
+
+def confirmed(pairs: DataFrame, heads: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets reach the similarity."""
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
+    sets = full_sets(ids, heads, texts, size)
     return (
         pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
         .join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
@@ -347,14 +380,14 @@ def near_duplicates(
     tries = shared_table(tries.mapInArrow(lambda b: _likely(b, enough), "a long, b long"), "tries")
     links = shared_table(confirmed(tries, heads, renamed, size, percent), "links")
 
-    # Then whoever is still apart: against the most similar ones, and last against all the rest.
-    marks = heads.select("id", "signature", "roots")
-    for best in (BEST, None):
-        apart = members.select(*_NODE, "id", "n_shingles").join(components(links), "id", "left").withColumn(
-            "component", F.coalesce("component", "id"))
-        pairs = _search(apart, marks, enough, percent, node_limit, best)
-        more = shared_table(confirmed(pairs, heads, renamed, size, percent), "links")
-        links = links.unionByName(more)
+    # Then whoever is still apart, pair by pair.
+    apart = members.select(*_NODE, "id", "n_shingles").join(components(links), "id", "left").withColumn(
+        "component", F.coalesce("component", "id"))
+    blocks = _search(apart, heads.select("id", "signature", "roots"), percent, node_limit)
+    open_ = shared_table(_dealt(blocks).mapInArrow(lambda b: _with_partner(b, enough, percent), blocks.schema), "open")
+    sets = full_sets(open_.select("id"), heads, renamed, size)
+    more = _dealt(open_.join(sets, "id")).mapInArrow(lambda b: _linked(b, enough, percent), "a long, b long")
+    links = links.unionByName(shared_table(more.distinct(), "links"))
     reached = components(links).select(F.col("id").alias("class_id"), "component")
     classes = classes.join(reached, "class_id", "left").select(
         *_SET, F.coalesce("component", "class_id").alias("component_id"))
@@ -385,10 +418,12 @@ def _mixed(members: DataFrame) -> DataFrame:
     return members.join(nodes, _NODE).withColumn("is_major", F.col("component") == F.col("major")).drop("major")
 
 
-def _search(
-    members: DataFrame, marks: DataFrame, enough: int, percent: int, node_limit: int, best: int | None
-) -> DataFrame:
-    """Candidate pairs (a, b) of different components from all trees."""
+def _dealt(blocks: DataFrame) -> DataFrame:
+    return blocks.repartition(*_GROUP).sortWithinPartitions(*_GROUP)
+
+
+def _search(members: DataFrame, marks: DataFrame, percent: int, node_limit: int) -> DataFrame:
+    """Blocks of nodes from all trees whose members are to be compared."""
     level = shared_table(_mixed(members), "level")
     small = F.col("n_minor") <= node_limit
     # In which trees a document's root node is compared as a whole.
@@ -407,9 +442,7 @@ def _search(
     whole = ready[0]
     for more in ready[1:]:
         whole = whole.unionByName(more)
-    grouped = _blocks(whole, node_limit).repartition(*_GROUP).sortWithinPartitions(*_GROUP)
-    pairs = grouped.mapInArrow(lambda b: _compare(b, enough, percent, best), "a long, b long")
-    return shared_table(pairs.distinct(), "pairs")
+    return _blocks(whole, node_limit)
 
 
 def first_of_each(docs: DataFrame, placed: DataFrame, id_col: str = "doc_id") -> DataFrame:
