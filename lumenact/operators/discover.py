@@ -153,12 +153,10 @@ def ranked_variances(chosen: DataFrame, keys: Sequence[str] = ("layer",)) -> Dat
         F.transform("_r", lambda r: r["variance"]).alias("feature_variances"))
 
 
-def feature_ids_in_order(chosen: DataFrame, max_features: int = 10_000) -> list[int]:
-    """The chosen ids by rank; their number is the k of the ranking."""
-    rows = chosen.orderBy("rank").select("feature_id").limit(max_features + 1).collect()
-    if len(rows) > max_features:
-        raise ValueError("too many features for a wide table")
-    return [r["feature_id"] for r in rows]
+def feature_ids_in_order(chosen: DataFrame) -> list[int]:
+    """The chosen ids by rank: one layer's k, which the caller has set."""
+    rows = chosen.select("rank", "feature_id").collect()
+    return [r["feature_id"] for r in sorted(rows, key=lambda r: r["rank"])]
 
 
 def keep_chosen(first: DataFrame, chosen: DataFrame) -> DataFrame:

@@ -100,15 +100,15 @@ def _encoder(tiles: list, kind: str, k: int | None, carry: Sequence[str]):
 
 def layer_sizes(weights: DataFrame) -> list:
     """Per layer: features, range of feature ids, and the width of the weights."""
-    return (
+    rows = (
         weights.groupBy("layer")
         .agg(
             F.min("feature_id").alias("low"), F.max("feature_id").alias("high"),
             F.count(F.lit(1)).alias("n"),
             F.min(F.size("w")).alias("d_min"), F.max(F.size("w")).alias("d_max"),
-        )
-        .orderBy("layer").collect()
+        ).collect()
     )
+    return sorted(rows, key=lambda row: row["layer"])
 
 
 def _pull(weights: DataFrame) -> pa.Table:

@@ -31,7 +31,10 @@ LINEAR_SVM_C = (0.1, 1.0, 10.0)
 RBF_SVM_C = (1.0, 10.0, 100.0)
 FOREST_TREES = (100, 500)
 BOOSTING_ROUNDS = 200
+NEIGHBOR_COUNTS = (1, 3, 5, 11)
 FEATURE_COUNTS = (5, 10, 20, 30, 50, 75, 100)
+SWEEP_HIDDEN = (512, 256)
+LAYOUT_SEEDS = (0, 1, 2, 3, 4)
 WEIGHT_DECAYS = (0.0, 1e-4, 1e-3, 1e-2, 1e-1, 0.5)
 LAYOUTS = (
     (), (16,), (32,), (64,), (128,), (256,), (512,), (64, 32), (128, 64), (256, 128), (512, 256),
@@ -48,13 +51,6 @@ def vector_table(first: DataFrame, samples: DataFrame, ids: Sequence[int]) -> Da
         "sample_id", "label", array_to_vector(F.coalesce("_f", zeros)).alias("features"))
 
 
-def vectors_from_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Vectors from the 0/1 columns of a feature table."""
-    rest = [c for c in df.columns if c not in columns]
-    values = F.array(*[F.col(c).cast("double") for c in columns])
-    return df.select(*rest, array_to_vector(values).alias("features"))
-
-
 def logistic(c: float, n: int, max_iter: int = 1000) -> LogisticRegression:
     return LogisticRegression(
         family="multinomial", regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=max_iter)
@@ -160,13 +156,26 @@ def run_sweep(
         rows, "dataset string, config string, params map<string,string>, accuracy double, n_test long")
 
 
-def comparison(n: int, n_in: int, light: bool = False) -> list[Config]:
-    """The classifiers that are compared; `light` shortens the iterative ones."""
-    steps = 20 if light else 1000
-    svm = 5 if light else 100
-    out = [Config(f"LogReg C={c:g}", logistic(c, n, steps), {"C": c}) for c in LOGISTIC_C]
-    out += [Config(f"SVM linear C={c:g}", linear_svm(c, n, svm), {"C": c}) for c in LINEAR_SVM_C]
-    out += [Config(f"RandomForest {t}", random_forest(t), {"trees": t}) for t in ((10, 20) if light else FOREST_TREES)]
-    out.append(Config("GradientBoosting", gradient_boosting(2 if light else BOOSTING_ROUNDS)))
+def comparison(n: int, svm_steps: int = 100, rounds: int = BOOSTING_ROUNDS) -> list[Config]:
+    """The classifiers on plain vectors that are compared."""
+    out = [Config(f"LogReg C={c:g}", logistic(c, n), {"C": c}) for c in LOGISTIC_C]
+    out += [Config(f"SVM linear C={c:g}", linear_svm(c, n, svm_steps), {"C": c}) for c in LINEAR_SVM_C]
+    out += [Config(f"RandomForest {t}", random_forest(t), {"trees": t}) for t in FOREST_TREES]
+    out.append(Config("GradientBoosting", gradient_boosting(rounds)))
     out.append(Config("BernoulliNB", bernoulli_bayes()))
     return out
+
+
+def kernel_comparison(n: int, svm_steps: int = 100) -> list[Config]:
+    """The kernel machines, for vectors of random cosine features."""
+    return [Config(f"SVM RBF C={c:g}", linear_svm(c, n, svm_steps), {"C": c}) for c in RBF_SVM_C]
+
+
+def layout_name(hidden: Sequence[int]) -> str:
+    return "→".join(map(str, hidden)) or "linear"
+
+
+def parameter_count(n_in: int, n_classes: int, hidden: Sequence[int]) -> int:
+    """Weights and biases of a perceptron."""
+    sizes = [n_in, *hidden, n_classes]
+    return sum((a + 1) * b for a, b in zip(sizes[:-1], sizes[1:], strict=True))

@@ -19,7 +19,11 @@ from .catalog import query
 from .oracle import cte, with_ctes
 from .study import K, Study
 
-KS = (1, 3, 5, 11)
+KS = est.NEIGHBOR_COUNTS
+# What a single machine can fit in a minute: iterations of a support vector machine, rounds of boosting.
+SVM_STEPS = 5
+ROUNDS = 2
+LAYOUT_STEPS = 50
 
 
 class Vectors(Study):
@@ -59,7 +63,10 @@ cte("knn_pairs", ("picks", "train", "test"), """
     GROUP BY p.sample_id, p.label, g.k, p.train_label)
   GROUP BY sample_id, label, k"""))
 def c06(spark, sf_dir):
-    s = Study(spark, sf_dir)
+    return _neighbor_votes(Study(spark, sf_dir))
+
+
+def _neighbor_votes(s):
     train = stage(nn.packed_vectors(s.picks(s.train_first), s.train, s.ids))
     test = stage(nn.packed_vectors(s.picks(s.test_first), s.test, s.ids))
     return nn.vote(nn.nearest_neighbors(train, test, max(KS)), test, KS)
@@ -92,53 +99,69 @@ def c03(spark, sf_dir):
 @query("c04_linear_svm")
 def c04(spark, sf_dir):
     s = Vectors(spark, sf_dir)
-    return s.sweep([est.Config(f"SVM C={c:g}", est.linear_svm(c, s.n_train, 5), {"C": c}) for c in est.LINEAR_SVM_C])
+    return s.sweep([est.Config(f"SVM C={c:g}", est.linear_svm(c, s.n_train, SVM_STEPS), {"C": c}) for c in est.LINEAR_SVM_C])
 
 
 @query("c05_rbf_svm")
 def c05(spark, sf_dir):
-    s = Vectors(spark, sf_dir)
+    return _kernel_sweep(Vectors(spark, sf_dir))
+
+
+def _kernel_sweep(s):
     gamma = est.scale_gamma(s.train_vectors, K)
     train = stage(est.fourier_features(s.train_vectors, K, 64, gamma))
     test = stage(est.fourier_features(s.test_vectors, K, 64, gamma))
-    configs = [est.Config(f"SVM RBF C={c:g}", est.linear_svm(c, s.n_train, 5), {"C": c}) for c in est.RBF_SVM_C]
-    return est.run_sweep(train, test, configs)
+    return est.run_sweep(train, test, est.kernel_comparison(s.n_train, SVM_STEPS))
 
 
 @query("c07_random_forest")
 def c07(spark, sf_dir):
     s = Vectors(spark, sf_dir)
-    return s.sweep([est.Config(f"RandomForest {t}", est.random_forest(t), {"trees": t}) for t in (20, 100)])
+    return s.sweep([est.Config(f"RandomForest {t}", est.random_forest(t), {"trees": t}) for t in est.FOREST_TREES])
 
 
 @query("c08_gradient_boosting")
 def c08(spark, sf_dir):
-    return Vectors(spark, sf_dir).sweep([est.Config("GradientBoosting", est.gradient_boosting(2), {"rounds": 2})])
+    return Vectors(spark, sf_dir).sweep([est.Config("GradientBoosting", est.gradient_boosting(ROUNDS), {"rounds": ROUNDS})])
 
 
 @query("c10_classifier_comparison")
 def c10(spark, sf_dir):
+    """All eighteen classifiers on one split."""
     s = Vectors(spark, sf_dir)
-    return s.sweep(est.comparison(s.n_train, K, light=True))
+    votes = _neighbor_votes(s).groupBy("k").agg(
+        F.avg(ev.hit()).alias("accuracy"), F.count(F.lit(1)).alias("n_test"))
+    near = votes.select(
+        F.lit("main").alias("dataset"), F.concat(F.lit("KNN k="), F.col("k").cast("string")).alias("config"),
+        F.create_map(F.lit("k"), F.col("k").cast("string")).alias("params"), "accuracy", "n_test")
+    return s.sweep(est.comparison(s.n_train, SVM_STEPS, ROUNDS)).unionByName(_kernel_sweep(s)).unionByName(near)
 
 
 @query("c11_feature_count_logistic")
 def c11_logistic(spark, sf_dir):
+    """Logistic regression and a two-layer network on the best n of the K features."""
     s = Vectors(spark, sf_dir)
-    return s.sweep([
-        est.Config(f"top-{n}", est.logistic(1.0, s.n_train), {"n_features": n}, n_features=n) for n in (1, 2, 4, 8)])
+    counts = [n for n in (1, 2, 4, 8) if n <= K]
+    configs = [
+        est.Config(f"LogReg top-{n}", est.logistic(1.0, s.n_train), {"n_features": n}, n_features=n) for n in counts]
+    configs += [
+        est.Config(f"MLP top-{n}", est.perceptron(n, len(s.classes), est.SWEEP_HIDDEN, 0, 20),
+                   {"n_features": n}, n_features=n) for n in counts]
+    return s.sweep(configs)
 
 
 @query("c12_layout_sweep")
 def c12(spark, sf_dir):
-    """Layouts and seeds, with the bookkeeping per layout."""
+    """All layouts and seeds, with the parameters and the bookkeeping of each layout."""
     s = Vectors(spark, sf_dir)
-    layouts, seeds = ((), (16,), (16, 8)), (0, 1)
+    n = len(s.classes)
     configs = [
-        est.Config("→".join(map(str, h)) or "linear", est.perceptron(K, len(s.classes), h, seed, 15), {"seed": seed})
-        for h in layouts for seed in seeds]
-    results = s.sweep(configs).withColumn("seed", F.col("params")["seed"].cast("int"))
-    return ev.over_seeds(results, ["dataset", "config"])
+        est.Config(est.layout_name(h), est.perceptron(K, n, h, seed, LAYOUT_STEPS),
+                   {"seed": seed, "n_params": est.parameter_count(K, n, h)})
+        for h in est.LAYOUTS for seed in est.LAYOUT_SEEDS]
+    results = s.sweep(configs).withColumns({
+        "seed": F.col("params")["seed"].cast("int"), "n_params": F.col("params")["n_params"].cast("long")})
+    return ev.over_seeds(results, ["dataset", "config", "n_params"])
 
 
 @query("c13_regularisation_logistic")

@@ -51,7 +51,7 @@ class Study:
 
     @cached_property
     def cuts(self) -> DataFrame:
-        return corpus.split_cuts(self.alive, RATIO, SEED, ["label"])
+        return stage(corpus.split_cuts(self.alive, RATIO, SEED, ["label"]))
 
     def part(self, df: DataFrame, split: str) -> DataFrame:
         return corpus.with_split(df, self.cuts, SEED, ["label"]).where(F.col("split") == split).drop("split")
