@@ -31,24 +31,30 @@ def _plain(line: Column) -> Column:
     return F.btrim(line, F.lit(" \t\n\x0b\x0c\r"))
 
 
+def _key(line: Column) -> Column:
+    """96 bits that stand for a line: two unlike hashes of its text."""
+    return F.struct(F.xxhash64(line).alias("a"), F.hash(line).alias("b"))
+
+
 def boilerplate(
     pages: DataFrame, host: Column, text: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES
 ) -> DataFrame:
-    """host, line (as compared), pages, host_pages of lines on more than `ratio` of the host's pages.
+    """host, key, pages, host_pages of lines on more than `ratio` of the host's pages.
 
-    A line counts once a page. Hosts with fewer than `min_pages` pages have no
-    boilerplate: on so few, a ratio says nothing. Counts are combined in the
-    tasks before they are shuffled, so a host with a third of all pages, or a
-    line on all of them, adds one row a task. At most (lines of an average
-    page) / ratio lines of a host can pass.
+    A line counts once a page, and travels as its key. Hosts with fewer than
+    `min_pages` pages have no boilerplate: on so few, a ratio says nothing.
+    Counts are combined in the tasks before they are shuffled, so a host with a
+    third of all pages, or a line on all of them, adds one row a task. At most
+    (lines of an average page) / ratio lines of a host can pass.
     """
-    rows = pages.select(host.alias("host"), F.array_distinct(F.transform(_lines(text), _plain)).alias("lines"))
+    plain = F.filter(F.transform(_lines(text), _plain), lambda x: x != "")
+    rows = pages.select(host.alias("host"), F.array_distinct(F.transform(plain, _key)).alias("keys"))
     totals = rows.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages")).where(F.col("host_pages") >= min_pages)
-    hashed = rows.select("host", F.explode("lines").alias("line")).where("line != ''")
-    counts = hashed.groupBy("host", "line").agg(F.count(F.lit(1)).alias("pages")).where("pages > 1")
+    keys = rows.select("host", F.explode("keys").alias("key"))
+    counts = keys.groupBy("host", "key").agg(F.count(F.lit(1)).alias("pages")).where("pages > 1")
     totals = totals.select(F.col("host").alias("own_host"), "host_pages")
     return counts.join(totals, F.col("host").eqNullSafe(F.col("own_host"))).where(
-        F.col("pages") > F.col("host_pages") * F.lit(ratio)).select("host", "line", "pages", "host_pages")
+        F.col("pages") > F.col("host_pages") * F.lit(ratio)).select("host", "key", "pages", "host_pages")
 
 
 def without_boilerplate(
@@ -64,11 +70,11 @@ def without_boilerplate(
     host = F.col(host_col) if isinstance(host_col, str) else host_col
     found = boilerplate(pages, host, F.col(text_col), ratio, min_pages)
     marked = shared_table(found.groupBy(F.col("host").alias("_host")).agg(
-        F.sort_array(F.collect_list("line")).alias("_lines")), "boilerplate")
+        F.collect_list("key").alias("_lines")), "boilerplate")
     rows = pages.select(F.struct("*").alias("_row"), host.alias("_own"), F.col(text_col).alias("_text"))
     rows = rows.join(marked, F.col("_own").eqNullSafe(F.col("_host")), "left")
     lines = _lines(F.col("_text"))
-    left = F.filter(lines, lambda x: ~F.array_contains(F.col("_lines"), _plain(x)))
+    left = F.filter(lines, lambda x: (_plain(x) == "") | ~F.array_contains(F.col("_lines"), _key(_plain(x))))
     cleaned = F.when(F.col("_lines").isNull() | F.col("_text").isNull(), F.col("_text")).otherwise(
         F.array_join(left, "\n"))
     removed = F.when(F.col("_lines").isNull() | F.col("_text").isNull(), F.lit(0)).otherwise(
