@@ -25,27 +25,27 @@ from .tables import shared_table
 from .text_hash import mix, stream
 
 BLOCK_DIMS = 8
-CELL_ROWS = 2000
-GROUP_ROWS = 1024
+CELL_ROWS = 1000
+GROUP_ROWS = 2048
 PAIRS_AT_ONCE = 1 << 15
 _SLACK = 1e-9
 
 
-def _valid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Vectors as bytes of doubles; null where a vector can link with nothing."""
+def _valid(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:
+    """Vectors as bytes of numbers; null where a vector can link with nothing."""
     for batch in batches:
         out = []
         for value in batch.column("vector"):
             row = value.as_py()
             ok = row is not None and len(row) > 0 and None not in row
-            x = np.asarray(row, dtype=np.float64) + 0.0 if ok else None
+            x = np.asarray(row, dtype=kind) + np.zeros(1, dtype=kind) if ok else None  # no negative zeros
             out.append(x.tobytes() if ok and np.isfinite(x).all() and x.any() else None)
         yield pa.RecordBatch.from_arrays(
             [batch.column("id"), batch.column("label"), pa.array(out, pa.binary())], names=["id", "label", "bytes"])
 
 
-def _matrix(column: pa.Array, dims: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.float64).reshape(len(column), dims)
+def _matrix(column: pa.Array, dims: int, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=kind).reshape(len(column), dims).astype(np.float64)
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -73,14 +73,14 @@ def _layout(dims: int) -> tuple[int, int]:
     return width // size, size
 
 
-def _cells(batches: Iterator[pa.RecordBatch], budget: float) -> Iterator[pa.RecordBatch]:
+def _cells(batches: Iterator[pa.RecordBatch], budget: float, kind: str) -> Iterator[pa.RecordBatch]:
     """Each row in its own cell of every block, and as a visitor in later cells it reaches."""
     for batch in batches:
         for start in range(0, batch.num_rows, 1000):
-            yield from _cells_of(batch.slice(start, 1000), budget)
+            yield from _cells_of(batch.slice(start, 1000), budget, kind)
 
 
-def _cells_of(batch: pa.RecordBatch, budget: float) -> Iterator[pa.RecordBatch]:
+def _cells_of(batch: pa.RecordBatch, budget: float, kind: str) -> Iterator[pa.RecordBatch]:
     dims, grid = batch.column("dims").to_numpy(), batch.column("grid").to_numpy()
     for d in np.unique(dims):
         blocks, size = _layout(int(d))
@@ -88,7 +88,7 @@ def _cells_of(batch: pa.RecordBatch, budget: float) -> Iterator[pa.RecordBatch]:
         for g in np.unique(grid[dims == d]):
             rows = np.flatnonzero((dims == d) & (grid == g))
             part = batch.take(pa.array(rows))
-            x = rotated(unit(_matrix(part.column("bytes"), int(d)))).reshape(len(rows), blocks, size)
+            x = rotated(unit(_matrix(part.column("bytes"), int(d), kind))).reshape(len(rows), blocks, size)
             for block in range(blocks):
                 yield from _block_cells(part, x[:, block, :min(int(g), size)] / (2 * reach), block)
 
@@ -124,7 +124,7 @@ def _block_cells(part: pa.RecordBatch, at: np.ndarray, block: int) -> Iterator[p
 _GROUP = ["label", "dims", "block", "cell", "low", "high"]
 
 
-def _join(batches: Iterator[pa.RecordBatch], budget: float, cosine: float) -> Iterator[pa.RecordBatch]:
+def _join(batches: Iterator[pa.RecordBatch], budget: float, cosine: float, kind: str) -> Iterator[pa.RecordBatch]:
     """Verified links of sorted groups: each linked row's count and smallest neighbour."""
     rest = None
     for batch in batches:
@@ -132,10 +132,10 @@ def _join(batches: Iterator[pa.RecordBatch], budget: float, cosine: float) -> It
         table = table if rest is None else pa.concat_tables([rest, table]).combine_chunks()
         starts = _starts(table)
         for a, b in zip(starts[:-1], starts[1:], strict=True):
-            yield from _links(table.slice(a, b - a), budget, cosine)
+            yield from _links(table.slice(a, b - a), budget, cosine, kind)
         rest = table.slice(starts[-1])
     if rest is not None and rest.num_rows:
-        yield from _links(rest, budget, cosine)
+        yield from _links(rest, budget, cosine, kind)
 
 
 def _starts(table: pa.Table) -> np.ndarray:
@@ -147,12 +147,12 @@ def _starts(table: pa.Table) -> np.ndarray:
     return np.flatnonzero(change) if len(change) else np.zeros(1, dtype=np.int64)
 
 
-def _links(group: pa.Table, budget: float, cosine: float) -> Iterator[pa.RecordBatch]:
+def _links(group: pa.Table, budget: float, cosine: float, kind: str) -> Iterator[pa.RecordBatch]:
     if group.num_rows < 2:
         return
     dims, block = group.column("dims")[0].as_py(), group.column("block")[0].as_py()
     blocks, size = _layout(dims)
-    vectors = _matrix(group.column("bytes").combine_chunks(), dims)
+    vectors = _matrix(group.column("bytes").combine_chunks(), dims, kind)
     units = unit(vectors)
     x = rotated(units).reshape(len(units), blocks, size)
     share = budget / blocks + _SLACK
@@ -229,17 +229,20 @@ def near_vectors(
     """
     budget = 2 - 2 * cosine
     label_type = vectors.schema[label_col].dataType
+    # Single-precision vectors travel as such; all arithmetic is in doubles.
+    single = isinstance(vectors.schema[vector_col].dataType.elementType, T.FloatType)
+    kind, width = ("<f4", 4) if single else ("<f8", 8)
     rows = vectors.select(
         F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).alias("vector"))
     schema = T.StructType([
         T.StructField("id", T.LongType()), T.StructField("label", label_type), T.StructField("bytes", T.BinaryType())])
-    rows = shared_table(rows.mapInArrow(_valid, schema), "vectors")
+    rows = shared_table(rows.mapInArrow(lambda b: _valid(b, kind), schema), "vectors")
     named = rows.where("id IS NOT NULL").groupBy("id").agg(
         F.max(F.struct("label", "bytes")).alias("v")).select("id", "v.*")
     usable = F.col("label").isNotNull() & F.col("bytes").isNotNull()
     classes = shared_table(named.where(usable).groupBy("label", "bytes").agg(
         F.min("id").alias("class_id"), F.count(F.lit(1)).alias("copies")
-    ).withColumn("dims", (F.length("bytes") / 8).cast("int")), "classes")
+    ).withColumn("dims", (F.length("bytes") / width).cast("int")), "classes")
 
     # As many grid coordinates as bring a label's cells to the wanted size.
     counts = classes.groupBy("label", "dims").agg(F.count(F.lit(1)).alias("n"))
@@ -248,10 +251,10 @@ def near_vectors(
     placed = classes.join(counts.select("label", "dims", grid.alias("grid")), ["label", "dims"]).select(
         F.xxhash64("label").alias("label"), "dims", "grid", F.col("class_id").alias("id"), "copies", "bytes")
     cells = placed.mapInArrow(
-        lambda b: _cells(b, budget),
+        lambda b: _cells(b, budget, kind),
         "label long, dims int, block int, cell long, own boolean, id long, copies long, bytes binary")
     found = shared_table(_blocks(cells).repartition(*_GROUP).sortWithinPartitions(*_GROUP).mapInArrow(
-        lambda b: _join(b, budget, cosine), "id long, links long, root long"), "links")
+        lambda b: _join(b, budget, cosine, kind), "id long, links long, root long"), "links")
     counted = found.groupBy("id").agg(F.sum("links").alias("links"))
     reached = components(found.select("id", "root"))
     classes = classes.join(counted.withColumnRenamed("id", "class_id"), "class_id", "left").join(
