@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.stats import variance_with_zeros
 from .discover import label_counts
 from .evaluate import hit
-from .linear import as_arrays, bernoulli_weights, complete_counts, score, with_bias
+from .linear import BIAS, as_arrays, bernoulli_weights, complete_counts, decide
 from .temporal import _literal, entry_point
 
 
@@ -55,11 +55,28 @@ def snapshot_weights(
 def snapshot_predictions(
     first: DataFrame, samples: DataFrame, weights: DataFrame, classes: Sequence[int], grid: Sequence[int]
 ) -> DataFrame:
-    """Predictions of each snapshot's own model on the features seen by then."""
-    seen = F.filter(_literal(grid), lambda t: t > F.col("first_step"))
-    fires = first.select("sample_id", "label", "feature_id", F.explode(seen).alias("t"))
-    points = samples.select("sample_id", "label", F.explode(_literal(grid)).alias("t"))
-    return score(with_bias(fires, points, ["t"]), weights, classes, on=["t"])
+    """Predictions of each snapshot's own model on the features seen by then.
+
+    A sample's firings, at most one for each chosen feature, are gathered once;
+    the snapshots are then scored row by row, with one row of weights for each
+    snapshot broadcast, so no firing is copied before a shuffle.
+    """
+    fires = first.groupBy("sample_id").agg(F.collect_list(F.struct("feature_id", "first_step")).alias("_fires"))
+    models = weights.groupBy("t").agg(F.map_from_entries(F.collect_list(F.struct("feature_id", "w"))).alias("_model"))
+    points = (
+        samples.select("sample_id", "label").join(fires, "sample_id", "left")
+        .withColumn("t", F.explode(_literal(grid))).join(F.broadcast(models), "t")
+    )
+    seen = F.filter("_fires", lambda x: x["first_step"] < F.col("t"))
+    names = [f"_c{i}" for i in range(len(classes))]
+
+    def total(i: int):
+        own = F.col("_model")[F.lit(BIAS)][i]
+        return F.coalesce(F.aggregate("_seen", own, lambda acc, x: acc + F.col("_model")[x["feature_id"]][i]), own)
+
+    scored = points.withColumn("_seen", seen).select(
+        "sample_id", "label", "t", *[total(i).alias(n) for i, n in enumerate(names)])
+    return decide(scored, names, classes, ["sample_id", "label", "t"])
 
 
 def snapshot_summary(predictions: DataFrame) -> DataFrame:
