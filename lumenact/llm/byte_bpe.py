@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .tables import per_process
 
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 250_000
 _WORD_BITS = 8
 _NONE = -1
 
@@ -246,7 +246,8 @@ def encode(
 def round_trip_digests(
     docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """Encode, decode the ids again, and digest both; same cases as `encode`."""
-    return encode(docs, path, pattern, id_col, text_col).mapInArrow(
-        lambda b: _digest(b, path),
+    """Encode, decode the ids again, and digest both, in one worker; same cases as `encode`."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(
+        lambda b: _digest(_encode(b, path, pattern), path),
         "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
