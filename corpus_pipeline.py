@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lumenact.llm import byte_bpe, line_dedup, mixing, toxicity
 from lumenact.llm.near_dedup import first_of_each, near_duplicates
 from lumenact.llm.queries import BPE_RANKS, table
-from lumenact.llm.tables import shared_table
+from lumenact.llm.tables import shared_table, small_batches
 
 #: Classifiers, shingle sets and merges cannot be stated in SQL.
 ORACLE_SQL = None
@@ -17,7 +17,8 @@ ORACLE_SQL = None
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the severity model rejects go."""
-    return toxicity.without_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    labels = table(small_batches(spark), sf_dir, "labels")
+    return toxicity.without_toxic(docs, toxicity.fit(docs, labels))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,6 +31,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays."""
+    small_batches(spark)
     return first_of_each(docs, near_duplicates(docs, percent=80))
 
 
@@ -40,6 +42,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with the digests of what they decode to."""
+    small_batches(spark)
     return byte_bpe.round_trip_digests(docs, public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN)
 
 

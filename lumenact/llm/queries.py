@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import byte_bpe, chat_format, lattice_lm, line_dedup, mixing, quality, toxicity
 from .embedding_dedup import near_vectors
 from .near_dedup import near_duplicates
+from .tables import small_batches
 from .topk_search import top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,7 +22,7 @@ PIECES = "piece_bpe_32k.model"
 
 def query(name: str, sql: str | None = None):
     def add(build):
-        QUERIES[name] = build
+        QUERIES[name] = lambda spark, sf_dir: build(small_batches(spark), sf_dir)
         if sql is not None:
             ORACLES[name] = sql
         return build

@@ -7,10 +7,13 @@ import types
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..session import shared_dir
 
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = "4m"
+
 
 def shared_table(df: DataFrame, label: str) -> DataFrame:
     """Write `df` as Parquet into `spark.checkpoint.dir` and read it back.
@@ -36,3 +39,14 @@ def per_process(key: tuple, make: Callable):
     if key not in kept:
         kept[key] = make()
     return kept[key]
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Let Arrow batches hold few bytes, unless the session says otherwise.
+
+    The operators' Python code works on small slices anyway; large batches
+    would only be held twice, by the executor and by its worker.
+    """
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+    return spark
