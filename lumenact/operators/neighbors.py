@@ -1,9 +1,12 @@
 """Exact nearest neighbours on binary feature vectors.
 
-Vectors are packed into 63-bit words. Both sides are cut into blocks by a hash
-of the id; each task compares one block of queries with one block of training
-rows in numpy and keeps only the k nearest per query, so no table of pairs
-ever exists and no task sees more than two blocks.
+Vectors are packed into 63-bit words. Short 0/1 vectors repeat a lot, so equal
+ones are compared once: of the training rows with the same bits only the k of
+the lowest ids can be neighbours, and test rows with the same bits share theirs.
+Both sides are cut into blocks by a hash of the bits; each task compares one
+block of queries with one block of training vectors in numpy and keeps only the
+k nearest per query, so no table of pairs ever exists and no task sees more
+than two blocks.
 """
 
 from __future__ import annotations
@@ -15,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stage
+
 WORD = 63
 BLOCK_ROWS = 32_768
 CHUNK = 256
@@ -74,23 +79,30 @@ def nearest_neighbors(
 
     Distance is the number of differing bits; ties go to the lower id.
     """
-    parallelism = test.sparkSession.sparkContext.defaultParallelism
-    n_test, n_train = test.count(), train.count()
-    n_left = max(-(-n_test // block_rows), min(parallelism, -(-n_test // CHUNK)), 1)
-    n_right = max(-(-n_train // block_rows), 1)
-    # Fresh names on both sides: they may stem from one and the same table.
-    left = test.select(
-        F.col("sample_id").alias("query_id"), F.col("bits").alias("query_bits"), F.pmod(F.xxhash64("sample_id"), F.lit(n_left)).alias("_left"),
+    lowest = Window.partitionBy("bits").orderBy("sample_id")
+    vectors = train.withColumn("_rn", F.row_number().over(lowest)).where(F.col("_rn") <= k).groupBy("bits").agg(
+        F.min("sample_id").alias("neighbor_id"), F.collect_list(F.struct("sample_id", "label")).alias("members"))
+    asked = test.groupBy("bits").agg(F.min("sample_id").alias("query_id"))
+    vectors, asked = stage(vectors), stage(asked)
+    n_left = max(-(-asked.count() // block_rows), 1)
+    n_right = max(-(-vectors.count() // block_rows), 1)
+    left = asked.select(
+        "query_id", F.col("bits").alias("query_bits"), F.pmod(F.xxhash64("bits"), F.lit(n_left)).alias("_left"),
         F.explode(F.sequence(F.lit(0), F.lit(n_right - 1))).alias("_right"))
-    right = train.select(
-        F.col("sample_id").alias("neighbor_id"), F.col("label").alias("neighbor_label"),
-        F.col("bits").alias("neighbor_bits"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_left - 1).cast("long"))).alias("_left"),
-        F.pmod(F.xxhash64("sample_id"), F.lit(n_right)).cast("int").alias("_right"))
+    right = vectors.select(
+        "neighbor_id", F.lit(0).alias("neighbor_label"), F.col("bits").alias("neighbor_bits"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_left - 1).cast("long"))).alias("_left"),
+        F.pmod(F.xxhash64("bits"), F.lit(n_right)).cast("int").alias("_right"))
     schema = "sample_id long, distance int, neighbor_id long, neighbor_label int"
     near = left.groupBy("_left", "_right").cogroup(right.groupBy("_left", "_right")).applyInPandas(
-        _nearest_in_block(k), schema)
-    rank = Window.partitionBy("sample_id").orderBy("distance", "neighbor_id")
-    return near.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
+        _nearest_in_block(k), schema).select(F.col("sample_id").alias("query_id"), "distance", "neighbor_id")
+    # Back to rows: the members of each near vector, then every test row with the query's bits.
+    rows = near.join(vectors.select("neighbor_id", F.explode("members").alias("_m")), "neighbor_id").select(
+        "query_id", "distance", F.col("_m.sample_id").alias("neighbor_id"), F.col("_m.label").alias("neighbor_label"))
+    rank = Window.partitionBy("query_id").orderBy("distance", "neighbor_id")
+    best = rows.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
+    owners = test.select("sample_id", "bits").join(asked, "bits").select("query_id", "sample_id")
+    return owners.join(best, "query_id").select("sample_id", "distance", "neighbor_id", "neighbor_label", "rank")
 
 
 def vote(neighbors: DataFrame, test: DataFrame, ks: Sequence[int]) -> DataFrame:
