@@ -31,9 +31,14 @@ LINEAR_SVM_C = (0.1, 1.0, 10.0)
 RBF_SVM_C = (1.0, 10.0, 100.0)
 FOREST_TREES = (100, 500)
 BOOSTING_ROUNDS = 200
+# A support vector machine ends by its tolerance; this many iterations only stop one that never would.
+SVM_STEPS = 1000
+KERNEL_FEATURES = 1024  # an entry of the kernel is off by at most 1 / sqrt(1024) (one standard deviation)
+MAX_TREE_DEPTH = 30  # Spark's limit; the reference has none
 NEIGHBOR_COUNTS = (1, 3, 5, 11)
 FEATURE_COUNTS = (5, 10, 20, 30, 50, 75, 100)
 SWEEP_HIDDEN = (512, 256)
+SWEEP_STEPS = 50
 LAYOUT_SEEDS = (0, 1, 2, 3, 4)
 WEIGHT_DECAYS = (0.0, 1e-4, 1e-3, 1e-2, 1e-1, 0.5)
 LAYOUTS = (
@@ -56,7 +61,7 @@ def logistic(c: float, n: int, max_iter: int = 1000) -> LogisticRegression:
         family="multinomial", regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=max_iter)
 
 
-def linear_svm(c: float, n: int, max_iter: int = 100) -> OneVsRest:
+def linear_svm(c: float, n: int, max_iter: int = SVM_STEPS) -> OneVsRest:
     # Classes are fitted one after the other: threads inside OneVsRest would share one set of
     # job properties, and a fit that clears it breaks the others. run_sweep runs whole fits
     # side by side, each thread with properties of its own.
@@ -65,7 +70,7 @@ def linear_svm(c: float, n: int, max_iter: int = 100) -> OneVsRest:
 
 
 def random_forest(trees: int, seed: int = 42) -> RandomForestClassifier:
-    return RandomForestClassifier(numTrees=trees, seed=seed, maxDepth=10)
+    return RandomForestClassifier(numTrees=trees, seed=seed, maxDepth=MAX_TREE_DEPTH)
 
 
 def gradient_boosting(rounds: int = BOOSTING_ROUNDS, seed: int = 42) -> OneVsRest:
@@ -156,7 +161,7 @@ def run_sweep(
         rows, "dataset string, config string, params map<string,string>, accuracy double, n_test long")
 
 
-def comparison(n: int, svm_steps: int = 100, rounds: int = BOOSTING_ROUNDS) -> list[Config]:
+def comparison(n: int, svm_steps: int = SVM_STEPS, rounds: int = BOOSTING_ROUNDS) -> list[Config]:
     """The classifiers on plain vectors that are compared."""
     out = [Config(f"LogReg C={c:g}", logistic(c, n), {"C": c}) for c in LOGISTIC_C]
     out += [Config(f"SVM linear C={c:g}", linear_svm(c, n, svm_steps), {"C": c}) for c in LINEAR_SVM_C]
@@ -166,7 +171,7 @@ def comparison(n: int, svm_steps: int = 100, rounds: int = BOOSTING_ROUNDS) -> l
     return out
 
 
-def kernel_comparison(n: int, svm_steps: int = 100) -> list[Config]:
+def kernel_comparison(n: int, svm_steps: int = SVM_STEPS) -> list[Config]:
     """The kernel machines, for vectors of random cosine features."""
     return [Config(f"SVM RBF C={c:g}", linear_svm(c, n, svm_steps), {"C": c}) for c in RBF_SVM_C]
 

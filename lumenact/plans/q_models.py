@@ -20,10 +20,9 @@ from .oracle import cte, with_ctes
 from .study import K, Study
 
 KS = est.NEIGHBOR_COUNTS
-# What a single machine can fit in a minute: iterations of a support vector machine, rounds of boosting.
-SVM_STEPS = 5
-ROUNDS = 2
 LAYOUT_STEPS = 50
+# The study's own counts, and those of the reference that the encoder's features allow.
+SWEEP_COUNTS = sorted({n for n in (1, 2, 4, K) if n <= K} | {n for n in est.FEATURE_COUNTS if n <= fx.D_SAE})
 
 
 class Vectors(Study):
@@ -99,7 +98,7 @@ def c03(spark, sf_dir):
 @query("c04_linear_svm")
 def c04(spark, sf_dir):
     s = Vectors(spark, sf_dir)
-    return s.sweep([est.Config(f"SVM C={c:g}", est.linear_svm(c, s.n_train, SVM_STEPS), {"C": c}) for c in est.LINEAR_SVM_C])
+    return s.sweep([est.Config(f"SVM C={c:g}", est.linear_svm(c, s.n_train), {"C": c}) for c in est.LINEAR_SVM_C])
 
 
 @query("c05_rbf_svm")
@@ -109,9 +108,9 @@ def c05(spark, sf_dir):
 
 def _kernel_sweep(s):
     gamma = est.scale_gamma(s.train_vectors, K)
-    train = stage(est.fourier_features(s.train_vectors, K, 64, gamma))
-    test = stage(est.fourier_features(s.test_vectors, K, 64, gamma))
-    return est.run_sweep(train, test, est.kernel_comparison(s.n_train, SVM_STEPS))
+    train = stage(est.fourier_features(s.train_vectors, K, est.KERNEL_FEATURES, gamma))
+    test = stage(est.fourier_features(s.test_vectors, K, est.KERNEL_FEATURES, gamma))
+    return est.run_sweep(train, test, est.kernel_comparison(s.n_train))
 
 
 @query("c07_random_forest")
@@ -122,7 +121,8 @@ def c07(spark, sf_dir):
 
 @query("c08_gradient_boosting")
 def c08(spark, sf_dir):
-    return Vectors(spark, sf_dir).sweep([est.Config("GradientBoosting", est.gradient_boosting(ROUNDS), {"rounds": ROUNDS})])
+    return Vectors(spark, sf_dir).sweep(
+        [est.Config("GradientBoosting", est.gradient_boosting(), {"rounds": est.BOOSTING_ROUNDS})])
 
 
 @query("c10_classifier_comparison")
@@ -134,20 +134,25 @@ def c10(spark, sf_dir):
     near = votes.select(
         F.lit("main").alias("dataset"), F.concat(F.lit("KNN k="), F.col("k").cast("string")).alias("config"),
         F.create_map(F.lit("k"), F.col("k").cast("string")).alias("params"), "accuracy", "n_test")
-    return s.sweep(est.comparison(s.n_train, SVM_STEPS, ROUNDS)).unionByName(_kernel_sweep(s)).unionByName(near)
+    return s.sweep(est.comparison(s.n_train)).unionByName(_kernel_sweep(s)).unionByName(near)
 
 
 @query("c11_feature_count_logistic")
 def c11_logistic(spark, sf_dir):
-    """Logistic regression and a two-layer network on the best n of the K features."""
+    """Logistic regression and a two-layer network on the best n features of the study's layer."""
     s = Vectors(spark, sf_dir)
-    counts = [n for n in (1, 2, 4, 8) if n <= K]
+    most = max(SWEEP_COUNTS)
+    chosen = dis.discover(s.train_first, s.train, most, fx.D_SAE, layer=s.layer, layers=fx.layer_frame(spark))
+    ids = dis.feature_ids_in_order(chosen)
+    train, test = (
+        stage(est.vector_table(lin.restrict(first, s.layer, ids), samples, ids))
+        for first, samples in ((s.train_first, s.train), (s.test_first, s.test)))
     configs = [
-        est.Config(f"LogReg top-{n}", est.logistic(1.0, s.n_train), {"n_features": n}, n_features=n) for n in counts]
+        est.Config(f"LogReg top-{n}", est.logistic(1.0, s.n_train), {"n_features": n}, n_features=n) for n in SWEEP_COUNTS]
     configs += [
-        est.Config(f"MLP top-{n}", est.perceptron(n, len(s.classes), est.SWEEP_HIDDEN, 0, 20),
-                   {"n_features": n}, n_features=n) for n in counts]
-    return s.sweep(configs)
+        est.Config(f"MLP top-{n}", est.perceptron(n, len(s.classes), est.SWEEP_HIDDEN, 0, est.SWEEP_STEPS),
+                   {"n_features": n}, n_features=n) for n in SWEEP_COUNTS]
+    return est.run_sweep(train, test, configs)
 
 
 @query("c12_layout_sweep")
