@@ -22,8 +22,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines of a source go; n_chars follows the text."""
-    cleaned = line_dedup.without_boilerplate(docs, "source").drop("_removed")
+    """Boilerplate lines of a source go, rare long ones too; n_chars follows the text."""
+    cleaned = line_dedup.without_boilerplate(docs, "source", rare=line_dedup.RARE).drop("_removed")
     if "n_chars" in docs.columns:
         cleaned = cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return cleaned.select(docs.columns)
