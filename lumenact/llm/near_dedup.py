@@ -2,13 +2,14 @@
 
 Each of several independent trees sends a document down a path of chosen
 minwise tokens: the root chooses one signature coordinate, and every node that
-is still large chooses one or two more, 1 / s of them on average for the asked
-similarity s, so documents share a node when they agree on the tokens chosen
-along its path. Small nodes are compared exhaustively. A pair of similarity s
-meets below one root with probability s, so at s = 0.8 eight trees miss
-0.2^8 = 2.6e-6 of the pairs. Under a large node the expected number of children
-that hold both stays one, and the other trees, whose roots chose other tokens,
-make up for the paths that end.
+is still large chooses a few more, so documents share a node when they agree on
+the tokens chosen along its path. Nodes of up to EXACT_BLOCKS blocks, and those
+of the last level, are compared exhaustively. A pair of similarity s meets below
+one root with probability s and below one of c children with 1 - (1 - s)^c, so
+T trees over D levels of large nodes miss (1 - s (1 - (1 - s)^c)^D)^T of the
+pairs. T and c are the least for which this is at most TARGET_MISS at the asked
+similarity, for a pair whose nodes stay large to the end: at 0.80, 8 trees with
+3 children miss 6.6e-6 there and 2.6e-6 in small nodes.
 
 Pairs are found on signatures and then confirmed on full shingle sets. To
 return components it is enough to confirm links between documents that are not
@@ -38,7 +39,10 @@ from .tables import shared_table
 COORDINATES = 128
 TREES = 8
 NODE_LIMIT = 512
+EXACT_BLOCKS = 8
 MAX_DEPTH = 4
+TARGET_MISS = 1e-5
+MAX_TREES = 63  # bits of `done`
 ID_BUCKETS = 1 << 20
 
 _MULTIPLY = text_hash.stream(101, COORDINATES) | np.uint64(1)
@@ -125,25 +129,43 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(joined, dtype=np.uint8).reshape(len(column), COORDINATES)
 
 
-def _branch(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Children of large nodes: the node's own hash chooses one coordinate, and sometimes a second."""
-    second = np.uint64(int((100.0 / percent - 1.0) * 2**32))
+def missed(percent: int, trees: int, children: int, depth: int) -> float:
+    """Share of the pairs at the asked similarity that no tree finds under `depth` levels of large nodes."""
+    s = percent / 100.0
+    return (1.0 - s * (1.0 - (1.0 - s) ** children) ** depth) ** trees
+
+
+def trees_for(percent: int) -> int:
+    """Trees that leave half of TARGET_MISS to the branching, TREES at least."""
+    found = next((t for t in range(TREES, MAX_TREES + 1) if missed(percent, t, 1, 0) <= TARGET_MISS / 2), None)
+    if found is None:
+        raise ValueError(f"{MAX_TREES} trees miss too many pairs of similarity {percent} %")
+    return found
+
+
+def children_for(percent: int, trees: int) -> int:
+    """Children of a large node that bring the miss to TARGET_MISS, or to twice that of the roots alone if that is more."""
+    goal = max(TARGET_MISS, 2.0 * missed(percent, trees, 1, 0))
+    return next((c for c in range(1, COORDINATES) if missed(percent, trees, c, MAX_DEPTH) <= goal), COORDINATES)
+
+
+def _branch(batches: Iterator[pa.RecordBatch], children: int) -> Iterator[pa.RecordBatch]:
+    """Children of large nodes: the node's own hash chooses as many coordinates, all different."""
     for batch in batches:
         sig = _matrix(batch.column("signature"))
         node = batch.column("node").to_numpy().view(np.uint64)
-        for k in range(2):
-            choice = text_hash.mix(node + np.uint64(7919 * (k + 1)))
-            rows = np.flatnonzero((choice >> np.uint64(32)) < second) if k else np.arange(len(node))
-            chosen = choice[rows] % np.uint64(COORDINATES)
+        rows = np.arange(len(node))
+        first, stride = text_hash.mix(node + np.uint64(7919)), text_hash.mix(node + np.uint64(2 * 7919)) | np.uint64(1)
+        for k in range(children):
+            chosen = (first + np.uint64(k) * stride) % np.uint64(COORDINATES)
             token = sig[rows, chosen.astype(np.int64)].astype(np.uint64) + (chosen << np.uint64(8))
-            child = text_hash.mix(text_hash.mix(node[rows] + token) + np.uint64(k))
-            part = batch.take(pa.array(rows))
+            child = text_hash.mix(text_hash.mix(node + token) + np.uint64(k))
             yield pa.RecordBatch.from_arrays(
-                [part.column("tree"), _signed(child), *[part.column(c) for c in _CARRIED]], names=["tree", "node", *_CARRIED])
+                [batch.column("tree"), _signed(child), *[batch.column(c) for c in _CARRIED]], names=["tree", "node", *_CARRIED])
 
 
 _CARRIED = ["id", "n_shingles", "signature", "roots", "done", "component"]
-_MEMBERS = "tree int, node long, id long, n_shingles long, signature binary, roots binary, done int, component long"
+_MEMBERS = "tree int, node long, id long, n_shingles long, signature binary, roots binary, done long, component long"
 _NODE = ["tree", "node"]
 _GROUP = [*_NODE, "kind", "low", "high"]
 
@@ -337,7 +359,7 @@ def near_duplicates(
     text_col: str = "text",
     size: int = 5,
     percent: int = 80,
-    trees: int = TREES,
+    trees: int | None = None,
     node_limit: int = NODE_LIMIT,
 ) -> DataFrame:
     """One row per document: id, n_shingles, component_id, kept.
@@ -353,6 +375,8 @@ def near_duplicates(
     row, with a null component, and is kept. Other columns are ignored, so
     their names cannot clash. An empty table gives an empty result.
     """
+    trees = trees or trees_for(percent)
+    children = children_for(percent, trees)
     renamed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     table = shared_table(profiles(renamed, size, trees), "profiles")
     # One row per id, then one class per distinct set, named by its smallest id.
@@ -383,7 +407,7 @@ def near_duplicates(
     # Then whoever is still apart, pair by pair.
     apart = members.select(*_NODE, "id", "n_shingles").join(components(links), "id", "left").withColumn(
         "component", F.coalesce("component", "id"))
-    blocks = _search(apart, heads.select("id", "signature", "roots"), percent, node_limit)
+    blocks = _search(apart, heads.select("id", "signature", "roots"), children, node_limit)
     open_ = shared_table(_dealt(blocks).mapInArrow(lambda b: _with_partner(b, enough, percent), blocks.schema), "open")
     sets = full_sets(open_.select("id"), heads, renamed, size)
     more = _dealt(open_.join(sets, "id")).mapInArrow(lambda b: _linked(b, enough, percent), "a long, b long")
@@ -422,13 +446,13 @@ def _dealt(blocks: DataFrame) -> DataFrame:
     return blocks.repartition(*_GROUP).sortWithinPartitions(*_GROUP)
 
 
-def _search(members: DataFrame, marks: DataFrame, percent: int, node_limit: int) -> DataFrame:
+def _search(members: DataFrame, marks: DataFrame, children: int, node_limit: int) -> DataFrame:
     """Blocks of nodes from all trees whose members are to be compared."""
     level = shared_table(_mixed(members), "level")
-    small = F.col("n_minor") <= node_limit
+    small = F.col("n_minor") <= node_limit * EXACT_BLOCKS
     # In which trees a document's root node is compared as a whole.
     done = level.groupBy("id").agg(
-        F.bit_or(F.when(small, F.expr("shiftleft(1, tree)")).otherwise(F.lit(0))).alias("done"))
+        F.bit_or(F.when(small, F.expr("shiftleft(1L, tree)")).otherwise(F.lit(0).cast("long"))).alias("done"))
     level = level.join(done, "id").join(marks, "id")
     ready = []
     for depth in range(MAX_DEPTH + 1):
@@ -438,7 +462,7 @@ def _search(members: DataFrame, marks: DataFrame, percent: int, node_limit: int)
         large = level.where(~small)
         if last or large.isEmpty():
             break
-        level = _mixed(large.select(*_NODE, *_CARRIED).mapInArrow(lambda b: _branch(b, percent), _MEMBERS))
+        level = _mixed(large.select(*_NODE, *_CARRIED).mapInArrow(lambda b: _branch(b, children), _MEMBERS))
     whole = ready[0]
     for more in ready[1:]:
         whole = whole.unionByName(more)
