@@ -132,7 +132,7 @@ def expand(
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Read examples back: only turns not seen before are parsed from each."""
+    """Read examples back: each must begin with the whole one before it; what follows is parsed."""
     done: list[tuple] = []
     state = None
     for batch in batches:
@@ -141,12 +141,14 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if state is None or example == 0:
                 if state is not None:
                     done.append(_closed(state))
-                state = {"conv": conv, "seen": 0, "turns": 0, "all": hashlib.sha256(), "loss": hashlib.sha256(),
+                state = {"conv": conv, "seen": "", "turns": 0, "all": hashlib.sha256(), "loss": hashlib.sha256(),
                          "loss_chars": 0, "chars": 0}
-            for role, text in read_turns(formatted, state["seen"]):
+            if not formatted.startswith(state["seen"]):
+                raise ValueError(f"example {example} of conversation {conv} does not repeat the one before it")
+            for role, text in read_turns(formatted, len(state["seen"])):
                 state["all"].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
                 state["turns"] += 1
-            state["seen"] = len(formatted)
+            state["seen"] = formatted
             reply = unescape(formatted[start:end])
             state["loss"].update(reply.encode("utf-8", "surrogatepass"))
             state["loss_chars"] += len(reply)
