@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import byte_bpe, chat_format, lattice_lm, line_dedup, mixing, quality, toxicity
 from .embedding_dedup import near_vectors
 from .near_dedup import near_duplicates
+from .spelling import variant_groups, word_counts
 from .tables import small_batches
 from .topk_search import top_k
 
@@ -145,3 +146,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_minhash_near_dedup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
+@query("op13_spelling_variants")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return variant_groups(word_counts(docs, min_length=5, min_count=3, misspell=97))
