@@ -267,10 +267,9 @@ def near_words(words: DataFrame) -> DataFrame:
     turn = [F.when(F.col("reversed"), F.reverse(c)).otherwise(F.col(c)).alias(c) for c in ("word", "near")]
     found = found.select(*turn, "n", "near_n").where(
         (F.length("word") < F.length("near")) | (F.col("word") < F.col("near"))).distinct()
-    both = found.unionByName(found.select(
-        F.col("near").alias("word"), F.col("word").alias("near"), F.col("near_n").alias("n"),
-        F.col("n").alias("near_n")))
-    return both.select("word", "near", "near_n")
+    return found.select(F.inline(F.array(
+        F.struct("word", "near", "near_n"),
+        F.struct(F.col("near").alias("word"), F.col("word").alias("near"), F.col("n").alias("near_n")))))
 
 
 def variant_groups(words: DataFrame, dominance: int = 2) -> DataFrame:
