@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,9 +38,15 @@ from tokenizers import Tokenizer
 from .tables import per_process, shared_table
 from .text_hash import filled, slices, text_bytes
 
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 ENCODE_BYTES = 1 << 18
+CACHE_UNITS = 120_000
+_LONGEST_CACHED = 64
 _SPACE = "▁"
+#: A place no token covers, in a vocabulary without such a piece: a space after a visible character.
+#: One that ends the text stays with its word, as nothing is not encoded as a space.
+_CUT = re.compile("(?<=[!-~À-ÿ])(?= .)", re.DOTALL)
+_COVERED = re.compile("[!-~À-ÿ] ")
 
 
 def byte_letters() -> dict[str, int]:
@@ -66,6 +73,7 @@ class ByteLevel:
         self.pieces = pa.array(pieces, pa.large_binary())
 
     def encode(self, texts: list[str]) -> list[list[int]]:
+        """Ids of a space and each text."""
         return [e.ids for e in self.model.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False)]
 
 
@@ -99,9 +107,10 @@ class Tokens:
         return np.diff(self.offsets)
 
 
-def tokens_of(lists: list[list[int]], pieces: pa.Array, texts: list[bytes]) -> tuple[Tokens, np.ndarray]:
-    """The tokens, and which texts their joined bytes give back."""
-    nested = pa.array(lists, pa.list_(pa.int32()))
+def tokens_of(packed: list[bytes], pieces: pa.Array, texts: list[bytes]) -> tuple[Tokens, np.ndarray]:
+    """The tokens of packed ids, and which texts their joined bytes give back."""
+    sizes = np.cumsum([0, *(len(ids) // 4 for ids in packed)])
+    nested = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.frombuffer(b"".join(packed), np.int32)))
     ids, text = pc.list_flatten(nested), pc.list_parent_indices(nested)
     joined = pieces.take(ids)
     ends = pc.cumulative_sum(pc.cast(pc.binary_length(joined), pa.int64()))
@@ -139,12 +148,44 @@ def _group_digests(a: Tokens, b: Tokens, links: pa.Table, names: tuple[pa.Array,
 
 
 class Aligner:
-    """Both tokenizers, and the work on the texts of one task."""
+    """Both tokenizers, and the work on the texts of one task.
+
+    Texts are cut into units before every space that follows a visible
+    character, where no piece of either vocabulary goes on, and the ids of
+    units met before are kept: words repeat.
+    """
 
     def __init__(self, a_path: str, b_path: str):
         self.a, self.b = ByteLevel(a_path), Pieces(b_path)
         self.names = tuple(pa.array(map(str, range(len(t.pieces))), pa.string()) for t in (self.a, self.b))
         self.width = len(self.b.pieces)
+        names = (p.as_py().decode("utf-8", "replace") for side in (self.a, self.b) for p in side.pieces)
+        self.cuts = not any(_COVERED.search(name) for name in names)
+        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.older: dict[str, tuple[bytes, bytes]] = {}
+
+    def encode(self, texts: list[str]) -> list[tuple[list[bytes], list[bytes]]]:
+        """Ids of each text, by units, as packed 32-bit integers, of both tokenizers."""
+        units = [_CUT.split(f" {text}") if self.cuts else [f" {text}"] for text in texts]
+        new, long = [], {}
+        for unit in set().union(*units).difference(self.known):
+            found = self.older.get(unit)
+            if found is None:
+                new.append(unit)
+            else:
+                self.known[unit] = found
+        bare = [unit[1:] for unit in new]
+        for unit, *ids in zip(new, self.a.encode(bare), self.b.encode(bare), strict=True):
+            (self.known if len(unit) <= _LONGEST_CACHED else long)[unit] = tuple(
+                np.array(x, dtype=np.int32).tobytes() for x in ids)
+        at_hand = {**self.known, **long} if long else self.known
+        out = []
+        for own in units:
+            both = [at_hand[unit] for unit in own]
+            out.append(([x for x, _ in both], [y for _, y in both]))
+        if len(self.known) > CACHE_UNITS:
+            self.known, self.older = {}, self.known
+        return out
 
     def rows(self, texts: list[str]) -> tuple[list[tuple], pa.Table]:
         """(n_a, n_b, n_groups, n_links, groups_sha256, links) of each text, and (pair, n) of all.
@@ -154,17 +195,17 @@ class Aligner:
         out = [(0, 0, 0, 0, "", b"")] * len(texts)
         rows = [i for i, t in enumerate(texts) if t]
         raws = [f" {texts[i]}".encode() for i in rows]
-        lists = [side.encode([texts[i] for i in rows]) for side in (self.a, self.b)]
-        kept = np.ones(len(rows), dtype=bool)
-        for side, ids in zip((self.a, self.b), lists, strict=True):
-            kept &= tokens_of(ids, side.pieces, raws)[1] if rows else kept
-        whole = np.flatnonzero(kept)
+        encoded = self.encode([texts[i] for i in rows])
+        lists = [[b"".join(both[k]) for both in encoded] for k in (0, 1)]
+        (a, a_same), (b, b_same) = (
+            tokens_of(ids, side.pieces, raws) for side, ids in zip((self.a, self.b), lists, strict=True))
+        whole = np.flatnonzero(a_same & b_same)
         none = pa.table({"pair": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
         if not len(whole):
             return out, none
-        raws = [raws[i] for i in whole]
-        a, b = (tokens_of([ids[i] for i in whole], side.pieces, raws)[0]
-                for side, ids in zip((self.a, self.b), lists, strict=True))
+        if len(whole) < len(rows):
+            a, b = (tokens_of([ids[i] for i in whole], side.pieces, [raws[i] for i in whole])[0]
+                    for side, ids in zip((self.a, self.b), lists, strict=True))
         links = _links(a, b)
         n_groups, digests = _group_digests(a, b, links, self.names, len(whole))
         pairs = links["a"].to_numpy().astype(np.int64) * self.width + links["b"].to_numpy()
