@@ -12,6 +12,7 @@ from . import byte_bpe, chat_format, lattice_lm, line_dedup, mixing, quality, to
 from .embedding_dedup import near_vectors
 from .near_dedup import near_duplicates
 from .spelling import variant_groups, word_counts
+from .suffix_dedup import without_repeats
 from .tables import small_batches
 from .token_align import align
 from .topk_search import top_k
@@ -150,6 +151,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+@query("op11_suffix_dedup")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(table(spark, sf_dir, "documents"), size=400, digest=True)
+
+
 @query("op12_token_alignment")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
