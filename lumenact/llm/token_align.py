@@ -23,8 +23,9 @@ import hashlib
 import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +40,8 @@ from .tables import per_process, shared_table
 from .text_hash import filled, slices, text_bytes
 
 CHUNK_BYTES = 8 << 20
-ENCODE_BYTES = 1 << 18
-CACHE_UNITS = 120_000
+ENCODE_BYTES = 1 << 20
+CACHE_UNITS = 200_000
 _LONGEST_CACHED = 64
 _SPACE = "▁"
 #: A place no token covers, in a vocabulary without such a piece: a space after a visible character.
@@ -107,10 +108,19 @@ class Tokens:
         return np.diff(self.offsets)
 
 
-def tokens_of(packed: list[bytes], pieces: pa.Array, texts: list[bytes]) -> tuple[Tokens, np.ndarray]:
-    """The tokens of packed ids, and which texts their joined bytes give back."""
-    sizes = np.cumsum([0, *(len(ids) // 4 for ids in packed)])
-    nested = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+def _packed(lists: list[list[int]]) -> Iterator[bytes]:
+    data = np.fromiter(chain.from_iterable(lists), dtype=np.int32).tobytes()
+    cuts = np.cumsum([0, *map(len, lists)]) * 4
+    return (data[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+
+
+def _lists(packed: Sequence[bytes]) -> pa.ListArray:
+    cuts = np.cumsum([0, *map(len, packed)]) // 4
+    return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+
+
+def tokens_of(nested: pa.ListArray, pieces: pa.Array, texts: list[bytes]) -> tuple[Tokens, np.ndarray]:
+    """The flat tokens of a list of ids for each text, and which texts their joined bytes give back."""
     ids, text = pc.list_flatten(nested), pc.list_parent_indices(nested)
     joined = pieces.take(ids)
     ends = pc.cumulative_sum(pc.cast(pc.binary_length(joined), pa.int64()))
@@ -162,27 +172,32 @@ class Aligner:
         names = (p.as_py().decode("utf-8", "replace") for side in (self.a, self.b) for p in side.pieces)
         self.cuts = not any(_COVERED.search(name) for name in names)
         self.known: dict[str, tuple[bytes, bytes]] = {}
-        self.older: dict[str, tuple[bytes, bytes]] = {}
+        self.older = self.known
 
-    def encode(self, texts: list[str]) -> list[tuple[list[bytes], list[bytes]]]:
-        """Ids of each text, by units, as packed 32-bit integers, of both tokenizers."""
+    def encode(self, texts: list[str]) -> list[pa.ListArray]:
+        """Ids of a space and each text, of both tokenizers."""
         units = [_CUT.split(f" {text}") if self.cuts else [f" {text}"] for text in texts]
-        new, long = [], {}
-        for unit in set().union(*units).difference(self.known):
-            found = self.older.get(unit)
-            if found is None:
-                new.append(unit)
-            else:
-                self.known[unit] = found
-        bare = [unit[1:] for unit in new]
-        for unit, *ids in zip(new, self.a.encode(bare), self.b.encode(bare), strict=True):
-            (self.known if len(unit) <= _LONGEST_CACHED else long)[unit] = tuple(
-                np.array(x, dtype=np.int32).tobytes() for x in ids)
-        at_hand = {**self.known, **long} if long else self.known
+        flat = list(chain.from_iterable(units))
+        number = {unit: i for i, unit in enumerate(dict.fromkeys(flat))}
+        which = pa.array(np.fromiter(map(number.__getitem__, flat), dtype=np.int32, count=len(flat)))
+        cuts = pa.array(np.cumsum([0, *map(len, units)]))
         out = []
-        for own in units:
-            both = [at_hand[unit] for unit in own]
-            out.append(([x for x, _ in both], [y for _, y in both]))
+        for packed in zip(*self._ids(list(number)), strict=True):
+            lists = _lists(packed).take(which)
+            out.append(pa.ListArray.from_arrays(lists.offsets.take(cuts), lists.values))
+        return out or [pa.array([], pa.list_(pa.int32()))] * 2
+
+    def _ids(self, units: list[str]) -> list[tuple[bytes, bytes]]:
+        """Packed ids of each unit; those of short ones are kept for two generations."""
+        out = list(map(self.known.get, units))
+        missing = [i for i, found in enumerate(out) if found is None]
+        for i in missing:
+            out[i] = self.older.get(units[i])
+        new = [i for i in missing if out[i] is None]
+        bare = [units[i][1:] for i in new]
+        for i, found in zip(new, zip(_packed(self.a.encode(bare)), _packed(self.b.encode(bare)), strict=True), strict=True):
+            out[i] = found
+        self.known.update((units[i], out[i]) for i in missing if len(units[i]) <= _LONGEST_CACHED)
         if len(self.known) > CACHE_UNITS:
             self.known, self.older = {}, self.known
         return out
@@ -195,8 +210,7 @@ class Aligner:
         out = [(0, 0, 0, 0, "", b"")] * len(texts)
         rows = [i for i, t in enumerate(texts) if t]
         raws = [f" {texts[i]}".encode() for i in rows]
-        encoded = self.encode([texts[i] for i in rows])
-        lists = [[b"".join(both[k]) for both in encoded] for k in (0, 1)]
+        lists = self.encode([texts[i] for i in rows])
         (a, a_same), (b, b_same) = (
             tokens_of(ids, side.pieces, raws) for side, ids in zip((self.a, self.b), lists, strict=True))
         whole = np.flatnonzero(a_same & b_same)
@@ -204,7 +218,7 @@ class Aligner:
         if not len(whole):
             return out, none
         if len(whole) < len(rows):
-            a, b = (tokens_of([ids[i] for i in whole], side.pieces, [raws[i] for i in whole])[0]
+            a, b = (tokens_of(ids.take(pa.array(whole)), side.pieces, [raws[i] for i in whole])[0]
                     for side, ids in zip((self.a, self.b), lists, strict=True))
         links = _links(a, b)
         n_groups, digests = _group_digests(a, b, links, self.names, len(whole))
