@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenact.llm import byte_bpe, line_dedup, mixing, toxicity
-from lumenact.llm.near_dedup import first_of_each, near_duplicates
+from lumenact.llm.near_dedup import first_of_each
 from lumenact.llm.queries import BPE_RANKS, table
 from lumenact.llm.tables import shared_table, small_batches
 
@@ -32,7 +32,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays."""
     small_batches(spark)
-    return first_of_each(docs, near_duplicates(docs, percent=80))
+    return first_of_each(docs, percent=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

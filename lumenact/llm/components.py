@@ -43,4 +43,5 @@ def components(links: DataFrame) -> DataFrame:
 
 def _digest(edges: DataFrame) -> tuple:
     return tuple(edges.agg(
-        F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum("v")).first())
+        F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")),
+        F.sum(F.col("v").cast("decimal(38,0)"))).first())

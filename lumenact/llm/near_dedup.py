@@ -469,9 +469,23 @@ def _search(members: DataFrame, marks: DataFrame, children: int, node_limit: int
     return _blocks(whole, node_limit)
 
 
-def first_of_each(docs: DataFrame, placed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents that stay: those `placed` marks as kept, and null ids."""
-    gone = placed.where(~F.col("kept")).select(F.col("doc_id").alias(id_col))
-    return docs.join(gone, id_col, "left_anti").select(docs.columns)
+_ROW = "_near_dedup_row"
 
 
+def first_of_each(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of near-duplicates: the one of the smallest id, null ids last.
+
+    Rows are told apart by id and text together, so of an id with several texts
+    each is judged on its own, rows that repeat both are copies, and so is a
+    row without an id. Texts without words are in no group: all their rows stay.
+    """
+    worded = F.coalesce(F.col(text_col).rlike("[^\\x09-\\x0D\\x20]"), F.lit(False))
+    keyed = docs.where(worded).withColumn(_ROW, F.xxhash64(F.col(id_col), F.col(text_col)))
+    placed = near_duplicates(keyed.select(F.col(_ROW).alias("row"), F.col(text_col).alias("text")), "row", "text", percent=percent)
+    ids = keyed.select(F.col(_ROW).alias("doc_id"), F.col(id_col).alias("id")).groupBy("doc_id").agg(F.first("id").alias("id"))
+    chosen = placed.select("doc_id", "component_id").join(ids, "doc_id").groupBy("component_id").agg(
+        F.min(F.struct(F.col("id").isNull().alias("none"), "id", "doc_id")).alias("least"))
+    chosen = chosen.select(F.col("least.doc_id").alias(_ROW))
+    # Equal rows are combined before the shuffle; the join finds them dealt by the same key.
+    kept = keyed.dropDuplicates([_ROW]).join(chosen, _ROW, "left_semi").select(docs.columns)
+    return kept.unionByName(docs.where(~worded))
