@@ -16,22 +16,22 @@ def labelled_sample(
     docs: DataFrame, labels: DataFrame, label_col: str, limit: int = SAMPLE_ROWS,
     only: Column | None = None, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
-    """(id, text, label) of about `limit` labelled documents, spread by a hash of the id.
+    """(id, text, label) of at most `limit` labelled documents, those whose ids hash lowest.
 
-    Null ids and labels are left out, a repeated id has its greatest label,
-    null texts are empty. The sampled ids are at most `limit` and so are
-    broadcast; the texts are not shuffled. `only` filters the labels.
+    Null ids and labels are left out, a repeated id has its greatest label and
+    its greatest text and is one row, null texts are empty. The sampled ids are
+    at most `limit` and so are broadcast; only their texts are shuffled, the
+    copies of each combined before. The sample does not depend on the layout of
+    the files. `only` filters the labels.
     """
     rows = labels if only is None else labels.where(only)
     rows = rows.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(
         F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("label"))
-    found = rows.count()
-    share = min(1.0, limit / max(found, 1))
-    part = F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
-    chosen = rows.where(part).limit(limit)
+    chosen = rows.orderBy(F.xxhash64("id", F.lit(17)), "id").limit(limit)
     texts = docs.select(
         F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return shared_table(texts.join(F.broadcast(chosen), "id"), "sample")
+    one = texts.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.max("text").alias("text"))
+    return shared_table(one.select("id", "text", "label"), "sample")
 
 
 class Lookup:

@@ -81,10 +81,11 @@ def _feature_rows(batches: Iterator[pa.RecordBatch], keys: np.ndarray) -> Iterat
             first = np.searchsorted(docs[rows], np.arange(end - start + 1)).astype(np.int32)
             offsets = pa.array(first)
             yield pa.RecordBatch.from_arrays([
-                batch.column("label").slice(start, end - start), pa.array(lengths),
+                batch.column("id").slice(start, end - start), batch.column("label").slice(start, end - start),
+                pa.array(lengths),
                 pa.ListArray.from_arrays(offsets, pa.array(features.astype(np.int32))),
                 pa.ListArray.from_arrays(offsets, pa.array(counts[rows].astype(np.int32))),
-            ], names=["label", "words", "features", "counts"])
+            ], names=["id", "label", "words", "features", "counts"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", limit: int = SAMPLE_ROWS,
@@ -119,7 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", limit: int
     speaks = table.column("speaks").to_numpy()[order]
     rows = sample.mapInArrow(
         lambda b: _feature_rows(b, keys),
-        "label int, words long, features array<int>, counts array<int>").toArrow().combine_chunks()
+        "id long, label int, words long, features array<int>, counts array<int>").orderBy("id").toArrow().combine_chunks()
     grades = rows.column("label").to_numpy().astype(np.int64)
     sizes = rows.column("features").combine_chunks().value_lengths().to_numpy().astype(np.int64)
     owner = np.repeat(np.arange(len(grades)), sizes)

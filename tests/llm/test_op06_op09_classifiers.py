@@ -129,3 +129,15 @@ def test_prefixes_are_those_of_the_words():
     assert docs.tolist() == [0, 1]
     again = text_hash.words(pa.array(["abcdzzz"])).prefixes(4)[1]
     assert hashes[0] == again[0] != hashes[1]
+
+
+def test_samples_are_bounded_and_do_not_depend_on_the_layout(spark):
+    docs = spark.createDataFrame(
+        [(i, f"text {i}") for i in range(300)] + [(7, f"copy {i}") for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, quality int")
+    both = labels.unionByName(labels.where("doc_id = 7"))
+    rows = [sorted(map(tuple, labelled.labelled_sample(d, both, "quality", limit=n).collect()))
+            for n in (49, 300) for d in (docs, docs.repartition(7))]
+    assert rows[0] == rows[1] and rows[2] == rows[3]
+    assert [len(r) for r in rows[::2]] == [49, 300]
+    assert {i: t for i, t, _ in rows[2]}[7] == "text 7"
