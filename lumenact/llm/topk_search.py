@@ -31,6 +31,7 @@ LEAF_ROWS = 64
 CHILDREN = 8
 EXACT = float(1 << 53)
 _LOWEST = np.iinfo(np.int64).min
+_LARGE = 10 ** 300
 _HIGHEST = np.iinfo(np.int64).max
 
 
@@ -69,7 +70,16 @@ def net(points: np.ndarray, size: int) -> np.ndarray:
     return points[chosen]
 
 
+def _lengths(rows: np.ndarray) -> np.ndarray:
+    """Lengths of rows whose squares may be too large for a float."""
+    top = float(np.abs(rows).max(initial=0.0))
+    return top * np.sqrt(((rows / top) ** 2).sum(axis=1)) if top > 0 else np.zeros(len(rows))
+
+
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    top = max(float(np.abs(a).max(initial=0.0)), float(np.abs(b).max(initial=0.0)))
+    if top > 1e100:
+        return top * _distances(a / top, b / top)
     squares = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * (a @ b.T)
     return np.sqrt(np.maximum(squares, 0.0))
 
@@ -81,22 +91,29 @@ class CoverTree:
         self.points = points
         self.order = np.arange(len(points))
         self.centre, self.radius, self.children, self.span = [], [], [], []
-        self._grow(0, len(points), points[0] if len(points) else None)
-
-    def _grow(self, start: int, end: int, centre) -> int:
-        node = len(self.span)
+        # Wide ranges make deep trees: nodes wait in a list, not in calls of calls.
+        waiting = [(0, len(points), points[0] if len(points) else None, -1)]
+        while waiting:
+            start, end, centre, parent = waiting.pop()
+            node = len(self.span)
+            if parent >= 0:
+                self.children[parent].append(node)
+            waiting += [(a, b, head, node) for a, b, head in reversed(self._parts(start, end, centre))]
+
+    def _parts(self, start: int, end: int, centre) -> list[tuple]:
+        """Make the node of a run; the (start, end, centre) of its children."""
         rows = self.order[start:end]
-        gap = np.sqrt(((self.points[rows] - centre) ** 2).sum(axis=1)) if end > start else np.zeros(1)
+        gap = _lengths(self.points[rows] - centre) if end > start else np.zeros(1)
         self.centre.append(centre)
         # A little larger than computed, to stay above rounding.
         self.radius.append(float(gap.max()) * (1 + 1e-12))
         self.children.append([])
         self.span.append((start, end))
         if end - start <= LEAF_ROWS or gap.max() == 0:
-            return node
+            return []
         heads, nearest, owner = [int(rows[0])], None, None
         while True:
-            away = np.sqrt(((self.points[rows] - self.points[heads[-1]]) ** 2).sum(axis=1))
+            away = _lengths(self.points[rows] - self.points[heads[-1]])
             if nearest is None:
                 nearest, owner = away, np.zeros(len(rows), dtype=np.int64)
             else:
@@ -108,22 +125,25 @@ class CoverTree:
         by_owner = np.argsort(owner, kind="stable")
         self.order[start:end] = rows[by_owner]
         cuts = start + np.searchsorted(owner[by_owner], np.arange(len(heads) + 1))
-        for k, head in enumerate(heads):
-            self.children[node].append(self._grow(int(cuts[k]), int(cuts[k + 1]), self.points[head]))
-        return node
+        return [(int(cuts[k]), int(cuts[k + 1]), self.points[head]) for k, head in enumerate(heads)]
 
     def finish(self) -> CoverTree:
         self.centre = np.array(self.centre)
         self.radius = np.array(self.radius)
-        self.norm = np.sqrt((self.centre**2).sum(axis=1))
         return self
 
 
 def bound(a: np.ndarray, s: float, b: np.ndarray, t: np.ndarray) -> np.ndarray:
     """Largest inner product between a ball around `a` and balls around the rows of `b`."""
-    norm_a, norm_b = np.sqrt(a @ a), np.sqrt((b * b).sum(axis=1))
-    top = b @ a + norm_a * t + norm_b * s + s * t
-    return top + 1e-9 * (norm_a + s) * (norm_b + t)
+    norm_a, norm_b = _lengths(a[None])[0], _lengths(b)
+    with np.errstate(over="ignore", invalid="ignore"):
+        top = b @ a + norm_a * t + norm_b * s + s * t + 1e-9 * (norm_a + s) * (norm_b + t)
+    return np.where(np.isnan(top), np.inf, top)  # what is too large for a float is never pruned
+
+
+def _floats(scores: np.ndarray) -> np.ndarray:
+    """Scores as floats; whole numbers too large for one count as the largest that are compared."""
+    return np.clip(scores, -_LARGE, _LARGE).astype(np.float64) if scores.dtype == object else scores
 
 
 class Best:
@@ -137,12 +157,12 @@ class Best:
 
     def worst(self, rows: np.ndarray) -> float:
         """The worst k-th score of a group of queries."""
-        return float(np.maximum(self.scores[rows, -1].astype(np.float64), self.floor[rows]).min())
+        return float(np.maximum(_floats(self.scores[rows, -1]), self.floor[rows]).min())
 
     def offer(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
-        lowest = np.maximum(self.scores[rows, -1].astype(np.float64), self.floor[rows])
+        lowest = np.maximum(_floats(self.scores[rows, -1]), self.floor[rows])
         other = self.ids[rows][:, None] != ids[None, :]
-        useful = other & (scores.astype(np.float64) >= lowest[:, None])
+        useful = other & (_floats(scores) >= lowest[:, None])
         some = np.flatnonzero(useful.any(axis=1))
         if not len(some):
             return
@@ -161,18 +181,19 @@ def dual_search(queries: CoverTree, data: CoverTree, data_ids: np.ndarray, best:
     """Walk down both trees, query groups first, and prune by covering radii."""
     exact = best.scores.dtype != object
 
-    def visit(node: int, frontier: np.ndarray) -> None:
+    waiting = [(0, np.array([0]))] if len(queries.points) and len(data.points) else []
+    while waiting:
+        node, frontier = waiting.pop()
         start, end = queries.span[node]
         rows = queries.order[start:end]
         top = bound(queries.centre[node], queries.radius[node], data.centre[frontier], data.radius[frontier])
         frontier = frontier[top >= best.worst(rows)]
         if not len(frontier):
-            return
+            continue
         if queries.children[node]:
             opened = [c for f in frontier for c in (data.children[f] or [f])]
-            for child in queries.children[node]:
-                visit(child, np.array(opened))
-            return
+            waiting += [(child, np.array(opened)) for child in reversed(queries.children[node])]
+            continue
         while True:
             # A leaf of queries: open the most promising data nodes first.
             top = bound(queries.centre[node], queries.radius[node], data.centre[frontier], data.radius[frontier])
@@ -195,12 +216,9 @@ def dual_search(queries: CoverTree, data: CoverTree, data_ids: np.ndarray, best:
                         [[int(x) for x in row] for row in right], dtype=object).T
                 best.offer(rows, scores, data_ids[others])
             if not inner:
-                return
+                break
             frontier = np.array(inner)
 
-    if len(queries.points) and len(data.points):
-        visit(0, np.array([0]))
-
 
 def _search(queries: pa.Table, data: pa.Table, k: int, dims: int) -> pa.Table:
     q, r = _matrix(queries.column("bytes"), dims), _matrix(data.column("bytes"), dims)

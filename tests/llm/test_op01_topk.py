@@ -63,3 +63,21 @@ def test_bound_holds(dims):
         assert gaps.max() <= tree.radius[node] + 1e-9
         top = topk_search.bound(points[7], 0.0, tree.centre[node:node + 1], tree.radius[node:node + 1])[0]
         assert (rows @ points[7]).max() <= top
+
+
+def test_very_wide_ranges_make_deep_trees():
+    """Distances that halve a thousand times, and squares beyond the floats."""
+    points = np.array([[s * 2.0 ** i] for i in range(1000) for s in (1, -1)])
+    tree = topk_search.CoverTree(points).finish()
+    assert sorted(tree.order.tolist()) == list(range(2000))
+    for node, (start, end) in enumerate(tree.span):
+        away = np.abs(points[tree.order[start:end], 0] - tree.centre[node][0])
+        assert away.max() <= tree.radius[node]
+    asked = topk_search.CoverTree(points[::400]).finish()
+    ids = np.arange(2000)
+    best = topk_search.Best(ids[::400], 3, np.full(5, -np.inf), False)
+    with np.errstate(all="ignore"):
+        topk_search.dual_search(asked, tree, ids, best)
+    for i, found in zip(ids[::400], best.found, strict=True):
+        scores = [(-int(points[i, 0]) * int(points[j, 0]), j) for j in ids if j != i]
+        assert found.tolist() == [j for _, j in sorted(scores)[:3]]
