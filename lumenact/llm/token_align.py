@@ -23,7 +23,7 @@ import hashlib
 import json
 import os
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
 
@@ -40,14 +40,20 @@ from .tables import per_process, shared_table
 from .text_hash import filled, slices, text_bytes
 
 CHUNK_BYTES = 8 << 20
-ENCODE_BYTES = 1 << 20
-CACHE_UNITS = 200_000
+ENCODE_BYTES = 4 << 20
+ALIGN_BYTES = 1 << 19
+CACHE_UNITS = 600_000
+CACHE_BYTES = 4 << 20
 _LONGEST_CACHED = 64
 _SPACE = "▁"
 #: A place no token covers, in a vocabulary without such a piece: a space after a visible character.
 #: One that ends the text stays with its word, as nothing is not encoded as a space.
 _CUT = re.compile("(?<=[!-~À-ÿ])(?= .)", re.DOTALL)
 _COVERED = re.compile("[!-~À-ÿ] ")
+_JOINABLE = re.compile("(?! ).*[!-~À-ÿ]", re.DOTALL)
+_JOINED_UNITS = 256
+#: Texts with other spaces than between visible characters and what follows are cut by the pattern above.
+_ODD_SPACE = "^ |[^!-~À-ÿ] | $"
 
 
 def byte_letters() -> dict[str, int]:
@@ -72,6 +78,7 @@ class ByteLevel:
         for name, number in names.items():
             pieces[number] = bytes(map(letters.get, name)) if all(c in letters for c in name) else name.encode()
         self.pieces = pa.array(pieces, pa.large_binary())
+        self.lengths = np.array([len(piece) for piece in pieces])
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         """Ids of a space and each text."""
@@ -89,6 +96,7 @@ class Pieces:
             pieces.append(bytes([int(name[3:5], 16)]) if self.model.is_byte(number)
                           else name.replace(_SPACE, " ").encode())
         self.pieces = pa.array(pieces, pa.large_binary())
+        self.lengths = np.array([len(piece) for piece in pieces])
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return self.model.encode(texts, num_threads=1)
@@ -108,15 +116,38 @@ class Tokens:
         return np.diff(self.offsets)
 
 
-def _packed(lists: list[list[int]]) -> Iterator[bytes]:
-    data = np.fromiter(chain.from_iterable(lists), dtype=np.int32).tobytes()
-    cuts = np.cumsum([0, *map(len, lists)]) * 4
-    return (data[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
-
-
-def _lists(packed: Sequence[bytes]) -> pa.ListArray:
-    cuts = np.cumsum([0, *map(len, packed)]) // 4
-    return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+def _lists(lists: list[list[int]]) -> pa.ListArray:
+    flat = np.fromiter(chain.from_iterable(lists), dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, lists)]), pa.int32()), pa.array(flat))
+
+
+def unit_ids(side: ByteLevel | Pieces, units: list[str]) -> pa.ListArray:
+    """Ids of a space and each unit; many units are encoded as one text and cut apart again."""
+    lengths = np.array([len(unit.encode()) + 1 for unit in units], dtype=np.int64)
+    joinable = np.array([_JOINABLE.fullmatch(unit) is not None for unit in units], dtype=bool)
+    one = np.flatnonzero(joinable)
+    groups = [one[at:at + _JOINED_UNITS] for at in range(0, len(one), _JOINED_UNITS)]
+    sizes, flat, order = [], [], []
+    alone = [np.flatnonzero(~joinable)]
+    for group, ids in zip(groups, side.encode([" ".join([units[i] for i in g]) for g in groups]), strict=True):
+        ids = np.array(ids, dtype=np.int32)
+        ends = np.cumsum(side.lengths[ids])
+        wanted = np.cumsum(lengths[group])
+        at = np.searchsorted(ends, wanted)
+        if len(ids) and at[-1] == len(ids) - 1 and (ends[at] == wanted).all():
+            order.append(group)
+            sizes.append(np.diff(at, prepend=-1))
+            flat.append(ids)
+        else:
+            alone.append(group)  # its tokens do not give the text back
+    rest = np.concatenate(alone)
+    lists = side.encode([units[i] for i in rest])
+    order = np.concatenate([*order, rest])
+    sizes = np.concatenate([*sizes, np.array([len(x) for x in lists], dtype=np.int64)])
+    flat = np.concatenate([*flat, np.fromiter(chain.from_iterable(lists), dtype=np.int32)])
+    found = pa.ListArray.from_arrays(
+        pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat, pa.int32()))
+    return found.take(pa.array(np.argsort(order)))
 
 
 def tokens_of(nested: pa.ListArray, pieces: pa.Array, texts: list[bytes]) -> tuple[Tokens, np.ndarray]:
@@ -162,7 +193,7 @@ class Aligner:
 
     Texts are cut into units before every space that follows a visible
     character, where no piece of either vocabulary goes on, and the ids of
-    units met before are kept: words repeat.
+    units met before are kept, at most CACHE_UNITS: words repeat.
     """
 
     def __init__(self, a_path: str, b_path: str):
@@ -171,35 +202,43 @@ class Aligner:
         self.width = len(self.b.pieces)
         names = (p.as_py().decode("utf-8", "replace") for side in (self.a, self.b) for p in side.pieces)
         self.cuts = not any(_COVERED.search(name) for name in names)
-        self.known: dict[str, tuple[bytes, bytes]] = {}
-        self.older = self.known
+        self.known = pa.array([], pa.large_string())
+        self.ids = [_lists([]), _lists([])]
+
+    def units(self, texts: list[str]) -> pa.ListArray:
+        """The units of each text, without the space each begins with."""
+        if not self.cuts:
+            return pa.array([[text] for text in texts], pa.list_(pa.large_string()))
+        whole = pa.array(texts, pa.large_string())
+        odd = pc.match_substring_regex(whole, _ODD_SPACE)
+        plain = pc.split_pattern(whole.filter(pc.invert(odd)), " ").cast(pa.list_(pa.large_string()))
+        rest = [[unit[1:] for unit in _CUT.split(f" {text}")] for text in whole.filter(odd).to_pylist()]
+        both = pa.concat_arrays([plain, pa.array(rest, pa.list_(pa.large_string()))])
+        odd = odd.to_numpy(zero_copy_only=False)
+        return both.take(pa.array(np.where(odd, len(plain) + np.cumsum(odd) - 1, np.cumsum(~odd) - 1)))
 
     def encode(self, texts: list[str]) -> list[pa.ListArray]:
         """Ids of a space and each text, of both tokenizers."""
-        units = [_CUT.split(f" {text}") if self.cuts else [f" {text}"] for text in texts]
-        flat = list(chain.from_iterable(units))
-        number = {unit: i for i, unit in enumerate(dict.fromkeys(flat))}
-        which = pa.array(np.fromiter(map(number.__getitem__, flat), dtype=np.int32, count=len(flat)))
-        cuts = pa.array(np.cumsum([0, *map(len, units)]))
-        out = []
-        for packed in zip(*self._ids(list(number)), strict=True):
-            lists = _lists(packed).take(which)
+        units = self.units(texts)
+        coded = units.flatten().dictionary_encode()
+        place = pc.index_in(coded.dictionary, value_set=self.known)
+        new = coded.dictionary.filter(pc.is_null(place))
+        place = place.to_numpy(zero_copy_only=False)
+        missing = np.isnan(place) if place.dtype.kind == "f" else np.zeros(len(place), dtype=bool)
+        place = np.where(missing, len(self.known) + np.cumsum(missing) - 1, place).astype(np.int64)
+        which = pa.array(place[coded.indices.to_numpy()])
+        cuts = pa.array(np.concatenate([[0], np.cumsum(units.value_lengths().to_numpy())]))
+        bare, out = new.to_pylist(), []
+        for k, side in enumerate((self.a, self.b)):
+            self.ids[k] = pa.concat_arrays([self.ids[k], unit_ids(side, bare)])
+            lists = self.ids[k].take(which)
             out.append(pa.ListArray.from_arrays(lists.offsets.take(cuts), lists.values))
-        return out or [pa.array([], pa.list_(pa.int32()))] * 2
-
-    def _ids(self, units: list[str]) -> list[tuple[bytes, bytes]]:
-        """Packed ids of each unit; those of short ones are kept for two generations."""
-        out = list(map(self.known.get, units))
-        missing = [i for i, found in enumerate(out) if found is None]
-        for i in missing:
-            out[i] = self.older.get(units[i])
-        new = [i for i in missing if out[i] is None]
-        bare = [units[i][1:] for i in new]
-        for i, found in zip(new, zip(_packed(self.a.encode(bare)), _packed(self.b.encode(bare)), strict=True), strict=True):
-            out[i] = found
-        self.known.update((units[i], out[i]) for i in missing if len(units[i]) <= _LONGEST_CACHED)
-        if len(self.known) > CACHE_UNITS:
-            self.known, self.older = {}, self.known
+        self.known = pa.concat_arrays([self.known, new])
+        if len(self.known) > CACHE_UNITS or new.nbytes > CACHE_BYTES:
+            # The newer half stays, without long units.
+            half = np.arange(len(self.known))[-CACHE_UNITS // 2:]
+            half = pa.array(half[pc.utf8_length(self.known.take(pa.array(half))).to_numpy() <= _LONGEST_CACHED])
+            self.known, self.ids = self.known.take(half), [ids.take(half) for ids in self.ids]
         return out
 
     def rows(self, texts: list[str]) -> tuple[list[tuple], pa.Table]:
@@ -211,24 +250,34 @@ class Aligner:
         rows = [i for i, t in enumerate(texts) if t]
         raws = [f" {texts[i]}".encode() for i in rows]
         lists = self.encode([texts[i] for i in rows])
+        counted = [pa.table({"pair": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})]
+        begin = np.cumsum([0, *map(len, raws)]) // ALIGN_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(begin[:-1])) + 1).tolist(), len(rows)]
+        for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+            done, pairs = self._aligned([ids.slice(start, end - start) for ids in lists], raws[start:end])
+            for i, row in done:
+                out[rows[start + i]] = row
+            counted += pairs
+        return out, _merged(counted)
+
+    def _aligned(self, lists: list[pa.ListArray], raws: list[bytes]) -> tuple[list[tuple[int, tuple]], list[pa.Table]]:
+        """The rows of texts that both tokenizers give back, and their counted pairs."""
         (a, a_same), (b, b_same) = (
             tokens_of(ids, side.pieces, raws) for side, ids in zip((self.a, self.b), lists, strict=True))
         whole = np.flatnonzero(a_same & b_same)
-        none = pa.table({"pair": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
         if not len(whole):
-            return out, none
-        if len(whole) < len(rows):
+            return [], []
+        if len(whole) < len(raws):
             a, b = (tokens_of(ids.take(pa.array(whole)), side.pieces, [raws[i] for i in whole])[0]
                     for side, ids in zip((self.a, self.b), lists, strict=True))
         links = _links(a, b)
         n_groups, digests = _group_digests(a, b, links, self.names, len(whole))
         pairs = links["a"].to_numpy().astype(np.int64) * self.width + links["b"].to_numpy()
         cuts = np.searchsorted(links["text"].to_numpy(), np.arange(len(whole) + 1))
-        for k, i in enumerate(whole):
-            out[rows[i]] = (int(a.counts[k]), int(b.counts[k]), int(n_groups[k]), int(cuts[k + 1] - cuts[k]),
-                            digests[k], pairs[cuts[k]:cuts[k + 1]].tobytes())
+        rows = [(int(i), (int(a.counts[k]), int(b.counts[k]), int(n_groups[k]), int(cuts[k + 1] - cuts[k]),
+                          digests[k], pairs[cuts[k]:cuts[k + 1]].tobytes())) for k, i in enumerate(whole)]
         counted = pa.table({"pair": pairs}).group_by("pair", use_threads=False).aggregate([([], "count_all")])
-        return out, counted.rename_columns(none.column_names)
+        return rows, [counted.rename_columns(["pair", "n"])]
 
 
 _ROW = "chunk long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, links binary"

@@ -62,7 +62,9 @@ def test_whole_table(spark):
 @pytest.mark.parametrize("chunk", [1 << 24, 64])
 def test_odd_texts(spark, monkeypatch, chunk):
     monkeypatch.setattr(token_align, "CHUNK_BYTES", chunk)  # in one chunk, or each text in its own
-    monkeypatch.setattr(token_align, "ENCODE_BYTES", 50)
+    monkeypatch.setattr(token_align, "ENCODE_BYTES", 50 if chunk == 64 else 1 << 22)
+    monkeypatch.setattr(token_align, "ALIGN_BYTES", 30)
+    monkeypatch.setattr(token_align, "CACHE_UNITS", 4)
     texts = ["the cat", "the cat", " ", "\n\n  x\ty  ", "été ÷ ½ ﬁ", "日本語 🙂🙂 ​", "<|endoftext|> <s> <0x41> ▁a", "\x00\x01",
              "", None, "a" * 30_000, "word " * 9_000, "=-" * 4_000]
     df = spark.createDataFrame([(i, t, "clash", 7) for i, t in enumerate(texts)],
