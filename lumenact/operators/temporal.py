@@ -86,6 +86,32 @@ def confidence_curve(
     return decide(sums.where("_point"), names, classes, ["sample_id", "label", "t"])
 
 
+def confidence_changes(
+    first: DataFrame, samples: DataFrame, weights: DataFrame, classes: Sequence[int],
+    grid: Sequence[int], min_steps: int, inclusive: bool = False,
+) -> DataFrame:
+    """The rows of `confidence_curve` where a decision can change, for `early_stop`.
+
+    Scores only move at grid points that see a new firing, so those, the first
+    point and the first one from `min_steps` on are scored; the grid is never
+    multiplied out. Every other point repeats the row before it.
+    """
+    n = len(classes)
+    names = [f"_c{i}" for i in range(n)]
+    marks = sorted({grid[0], *[t for t in grid if t >= min_steps][:1]})
+    fires = first.select("sample_id", "label", "feature_id", entry_point(grid, inclusive).alias("t"))
+    bias = samples.select("sample_id", "label", F.lit(BIAS).alias("feature_id"), F.lit(int(grid[0])).alias("t"))
+    added = (
+        fires.where(F.col("t").isNotNull()).unionByName(bias).join(F.broadcast(weights), "feature_id")
+        .select("sample_id", "label", "t", *class_weights(n)))
+    still = samples.select(
+        "sample_id", "label", F.explode(_literal(marks)).alias("t"), *[F.lit(0.0).alias(c) for c in names])
+    so_far = Window.partitionBy("sample_id").orderBy("t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = added.unionByName(still).select("sample_id", "label", "t", *[F.sum(c).over(so_far).alias(c) for c in names])
+    points = sums.groupBy("sample_id", "label", "t").agg(*[F.max(c).alias(c) for c in names])
+    return decide(points, names, classes, ["sample_id", "label", "t"])
+
+
 def curve_summary(curve: DataFrame) -> DataFrame:
     """Accuracy, mean and median confidence per reported step."""
     shown = curve.where((F.col("t") <= 200) | (F.col("t") % 40 == 0))

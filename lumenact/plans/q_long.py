@@ -19,7 +19,6 @@ from .oracle import cte, decisions, with_ctes
 
 LANGUAGES = ("de", "en", "es", "fr")
 N_FEATURES = 256
-LONGEST = 600  # words the SQL twins read; past the grid, so their rows are those of whole texts
 MAX_STEPS = 512
 MIN_STEPS = 16
 GRID = tmp.evaluation_grid(MAX_STEPS)
@@ -65,11 +64,17 @@ class LongStudy:
         return tmp.confidence_curve(
             self.first, self.samples, self.weights, list(range(len(LANGUAGES))), GRID)
 
+    @cached_property
+    def stops(self):
+        changes = tmp.confidence_changes(
+            self.first, self.samples, self.weights, list(range(len(LANGUAGES))), GRID, MIN_STEPS)
+        return tmp.early_stop(changes, TARGETS, MIN_STEPS, MAX_STEPS)
+
 
 cte("long_steps", (), f"""
   SELECT doc_id AS sample_id, list_position({list(LANGUAGES)}, lang) - 1 AS label,
-    unnest(string_split_regex(text, '{WORD_GAP}')[1:{LONGEST}]) AS word,
-    generate_subscripts(string_split_regex(text, '{WORD_GAP}')[1:{LONGEST}], 1) - 1 AS step
+    unnest(string_split_regex(text, '{WORD_GAP}')) AS word,
+    generate_subscripts(string_split_regex(text, '{WORD_GAP}'), 1) - 1 AS step
   FROM documents""")
 cte("long_first", ("long_steps",), f"""
   SELECT sample_id, label, feature_id, min(step) AS first_step FROM (
@@ -119,7 +124,7 @@ def d05_long(spark, sf_dir):
 
 @query("d06_long_stops", with_ctes("long_stops", "SELECT sample_id, label, target, tokens, pred FROM long_stops"))
 def d06_long(spark, sf_dir):
-    return tmp.early_stop(LongStudy(spark, sf_dir).curve, TARGETS, MIN_STEPS, MAX_STEPS)
+    return LongStudy(spark, sf_dir).stops
 
 
 @query("d08_long_early_stop", with_ctes("long_stops", f"""
@@ -127,5 +132,5 @@ def d06_long(spark, sf_dir):
     quantile_cont(tokens, 0.5)::DOUBLE AS median_tokens, round(avg((tokens < {MAX_STEPS})::INTEGER), 7) AS pct_early
   FROM long_stops GROUP BY target"""))
 def d08_long(spark, sf_dir):
-    stops = tmp.early_stop(LongStudy(spark, sf_dir).curve, TARGETS, MIN_STEPS, MAX_STEPS)
+    stops = LongStudy(spark, sf_dir).stops
     return _rounded(tmp.early_stop_summary(stops, MAX_STEPS), "accuracy", "mean_tokens", "pct_early")

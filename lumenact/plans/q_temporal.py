@@ -87,7 +87,9 @@ cte("stops", ("curve",), """
 
 
 def _stops(s: Study, targets=TARGETS):
-    return tmp.early_stop(s.curve(GRID), targets, MIN_STEPS, fx.MAX_STEPS)
+    changes = tmp.confidence_changes(
+        s.picks(s.test_first), s.test, s.weights, s.classes, GRID, MIN_STEPS)
+    return tmp.early_stop(changes, targets, MIN_STEPS, fx.MAX_STEPS)
 
 
 @query("d06_first_crossing", with_ctes("stops", "SELECT sample_id, label, target, tokens FROM stops"))
