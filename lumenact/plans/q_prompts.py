@@ -120,8 +120,8 @@ def event_levels(spark, sf_dir):
     'Write exactly ' || count(*) || ' question(s), one per spec.' || chr(10) || chr(10)
     || string_agg('Spec ' || (pos + 1) || ':' || chr(10) || '  target_subtopic: ' || subtopic || ' -- ' || description
          || chr(10) || '  adversarial_level: ' || level, chr(10) || chr(10) ORDER BY pos)
-    || chr(10) || chr(10) || 'Return exactly ' || count(*)
-    || ' JSON objects in one array between <PROMPTS> and </PROMPTS>.' AS user_prompt
+    || chr(10) || chr(10) || 'The array has one entry for each spec above, ' || count(*)
+    || ' in all; open it with <PROMPTS> and close it with </PROMPTS>.' AS user_prompt
   FROM (SELECT b.rn // 8 AS batch_index, b.rn % 8 AS pos, b.subtopic, b.target_adversarial_level AS level, t.description
         FROM batched b JOIN taxonomy t USING (subtopic))
   GROUP BY batch_index"""))
