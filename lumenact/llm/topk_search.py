@@ -2,9 +2,9 @@
 
 The top of the tree is a farthest-first net of a bounded sample. Every row,
 query or not, goes to its nearest net point, and crowded net points are cut
-into blocks. Inside a task, queries and data of a block each get a cover tree:
-a node is a centre, a covering radius and children that are nets of half the
-radius. For any q and r in two nodes with centres a, b and radii s, t,
+into blocks. Inside a task, queries and data of a block each get a cover tree
+with levels of halving radius, nested, separated and covering (see CoverTree).
+For any q and r in two nodes with centres a, b and covering radii s, t,
     q . r <= a . b + |a| t + |b| s + s t,
 so a pair of nodes is pruned when this is below the worst k-th score of the
 query node's group. Queries first search their own block, which gives every
@@ -13,6 +13,7 @@ group its worst k-th score; net points that cannot beat it are never visited.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,9 @@ NODE_ROWS = 2048  # rows a net point should have while the net is smaller than N
 BLOCK_ROWS = 8192
 QUERY_ROWS = 2048
 LEAF_ROWS = 64
-CHILDREN = 8
+CHUNK = 256  # rows that are tried as centres at once
+ROWS_AT_ONCE = 4096
+OPEN_ROWS = 512  # rows of leaves that are multiplied at once
 EXACT = float(1 << 53)
 _LOWEST = np.iinfo(np.int64).min
 _LARGE = 10 ** 300
@@ -85,62 +88,169 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class CoverTree:
-    """Nodes over the rows of a matrix; a leaf holds a run of `order`."""
+    """A cover tree over the rows of a matrix, as nodes over runs of `order`.
+
+    Level l has centres `heads[l]`, rows of the matrix:
+    - nesting: a centre of a level is one of every lower level;
+    - separation: two centres of level l are more than 2^l apart;
+    - covering: a centre that enters at level l has a parent among the centres
+      of the levels above that lies within 2^(l + 1).
+    Levels at which no centre enters are skipped. A centre with at most
+    LEAF_ROWS rows is not refined; its rows are a leaf. Small leaves of one
+    parent share a run, so that a step of the search has enough to multiply.
+    `radius` is the true covering radius of a node over all rows below it.
+    """
 
     def __init__(self, points: np.ndarray):
         self.points = points
-        self.order = np.arange(len(points))
+        self.levels: list[tuple[float, list[int], list[int]]] = []  # (2^l, new centres, their parents)
         self.centre, self.radius, self.children, self.span = [], [], [], []
-        # Wide ranges make deep trees: nodes wait in a list, not in calls of calls.
-        waiting = [(0, len(points), points[0] if len(points) else None, -1)]
-        while waiting:
-            start, end, centre, parent = waiting.pop()
-            node = len(self.span)
-            if parent >= 0:
-                self.children[parent].append(node)
-            waiting += [(a, b, head, node) for a, b, head in reversed(self._parts(start, end, centre))]
-
-    def _parts(self, start: int, end: int, centre) -> list[tuple]:
-        """Make the node of a run; the (start, end, centre) of its children."""
-        rows = self.order[start:end]
-        gap = _lengths(self.points[rows] - centre) if end > start else np.zeros(1)
-        self.centre.append(centre)
-        # A little larger than computed, to stay above rounding.
-        self.radius.append(float(gap.max()) * (1 + 1e-12))
-        self.children.append([])
-        self.span.append((start, end))
-        if end - start <= LEAF_ROWS or gap.max() == 0:
-            return []
-        heads, nearest, owner = [int(rows[0])], None, None
+        self.order = np.arange(len(points))
+        if len(points):
+            self._nodes(self._refine())
+
+    def _away(self, rows: np.ndarray, heads: np.ndarray, size: float) -> np.ndarray:
+        """Distances of rows and heads; by differences where products would round them away."""
+        if size > 1e-4 * self.top and self.top < 1e100:
+            return _distances(self.points[rows] - self.points[0], self.points[heads] - self.points[0])
+        return np.stack([_lengths(self.points[rows] - self.points[head]) for head in heads], axis=1)
+
+    def _refine(self) -> np.ndarray:
+        """Add levels from the top down; the nearest centre of every row."""
+        n = len(self.points)
+        self.top = float(_lengths(self.points - self.points[0]).max())
+        self.levels.append((_power_above(self.top), [0], [0]))
+        owner, gap = np.zeros(n, dtype=np.int64), _lengths(self.points - self.points[0])
         while True:
-            away = _lengths(self.points[rows] - self.points[heads[-1]])
-            if nearest is None:
-                nearest, owner = away, np.zeros(len(rows), dtype=np.int64)
-            else:
-                closer = away < nearest
-                nearest[closer], owner[closer] = away[closer], len(heads) - 1
-            if len(heads) == CHILDREN or nearest.max() <= gap.max() / 2:
-                break
-            heads.append(int(rows[nearest.argmax()]))
+            large = np.bincount(owner, minlength=n)[owner] > LEAF_ROWS
+            gap[large] = _lengths(self.points[large] - self.points[owner[large]])
+            widest = float(gap[large].max(initial=0.0))
+            if widest == 0:
+                return owner
+            size = _power_above(widest) / 2
+            above, heads = owner.copy(), []
+            open_rows = np.flatnonzero(large)
+            waiting = open_rows[gap[open_rows] > size]
+            while len(waiting):
+                some = waiting[:CHUNK]
+                apart = self._away(some, some, size) > size
+                free = np.ones(len(some), dtype=bool)
+                chosen = []
+                for k in range(len(some)):
+                    if free[k]:
+                        chosen.append(k)
+                        free &= apart[k]
+                new = some[chosen]
+                heads.extend(new.tolist())
+                # A centre that is not refined keeps its rows, so distances only ever fall.
+                for start in range(0, len(open_rows), ROWS_AT_ONCE):
+                    rows = open_rows[start:start + ROWS_AT_ONCE]
+                    away = self._away(rows, new, size)
+                    near = away.argmin(axis=1)
+                    least = away[np.arange(len(rows)), near]
+                    closer = least < gap[rows]
+                    gap[rows[closer]], owner[rows[closer]] = least[closer], new[near[closer]]
+                gap[new], owner[new] = 0.0, new
+                waiting = waiting[CHUNK:]
+                waiting = waiting[gap[waiting] > size]
+            self.levels.append((size, heads, above[heads].tolist()))
+
+    def _nodes(self, owner: np.ndarray) -> None:
+        """Nodes of the tree, and rows in the order of its leaves."""
         by_owner = np.argsort(owner, kind="stable")
-        self.order[start:end] = rows[by_owner]
-        cuts = start + np.searchsorted(owner[by_owner], np.arange(len(heads) + 1))
-        return [(int(cuts[k]), int(cuts[k + 1]), self.points[head]) for k, head in enumerate(heads)]
+        cuts = np.searchsorted(owner[by_owner], np.arange(len(owner) + 1))
+        under: dict[int, list[list[int]]] = {}  # for each centre, the new centres of each level below it
+        for _, heads, parents in self.levels[1:]:
+            entered: dict[int, list[int]] = {}
+            for head, parent in zip(heads, parents, strict=True):
+                entered.setdefault(parent, []).append(head)
+            for parent, group in entered.items():
+                under.setdefault(parent, []).append(group)
+        rows_below: dict[tuple[int, int], int] = {}
+        stack = [(0, 0, False)]
+        while stack:
+            head, depth, ready = stack.pop()
+            groups = under.get(head, [])
+            if depth == len(groups):
+                rows_below[head, depth] = int(cuts[head + 1] - cuts[head])
+            elif ready:
+                rows_below[head, depth] = rows_below[head, depth + 1] + sum(rows_below[h, 0] for h in groups[depth])
+            else:
+                stack.append((head, depth, True))
+                stack += [(head, depth + 1, False), *((h, 0, False) for h in groups[depth])]
+        order: list[np.ndarray] = []
+        at = 0
+        # Entries: a node (bags of small subtrees have several), its centre, its parent.
+        todo = [([(0, 0)], 0, -1)]
+        while todo:
+            members, head, parent = todo.pop()
+            node, size = len(self.span), sum(rows_below[m] for m in members)
+            if parent >= 0:
+                self.children[parent].append(node)
+            self.centre.append(self.points[head])
+            self.children.append([])
+            self.span.append((at, at + size))
+            if len(members) > 1 or size <= LEAF_ROWS or members[0][1] == len(under.get(members[0][0], [])):
+                for member in members:
+                    for centre in self._centres(member, under):
+                        order.append(by_owner[cuts[centre]:cuts[centre + 1]])
+                at += size
+                continue
+            top, depth = members[0]
+            parts = [(top, depth + 1), *((h, 0) for h in under[top][depth])]
+            bags, held = [[]], 0
+            entries = []
+            for part in parts:
+                if rows_below[part] > LEAF_ROWS:
+                    entries.append(([part], part[0], node))
+                    continue
+                if held + rows_below[part] > LEAF_ROWS and bags[-1]:
+                    bags.append([])
+                    held = 0
+                bags[-1].append(part)
+                held += rows_below[part]
+            entries += [(bag, bag[0][0], node) for bag in bags if bag]
+            # Spans of an inner node are those of the nodes that follow it, last in, first out.
+            todo += reversed(entries)
+        self.order = np.concatenate(order)
+
+    @staticmethod
+    def _centres(member: tuple[int, int], under: dict[int, list[list[int]]]) -> Iterator[int]:
+        """All centres of a subtree."""
+        waiting = [member]
+        while waiting:
+            head, depth = waiting.pop()
+            yield head
+            waiting += [(h, 0) for group in under.get(head, [])[depth:] for h in group]
 
     def finish(self) -> CoverTree:
         self.centre = np.array(self.centre)
-        self.radius = np.array(self.radius)
+        # A little larger than computed, to stay above rounding.
+        self.radius = np.array([
+            float(_lengths(self.points[self.order[a:b]] - centre).max()) * (1 + 1e-12)
+            for (a, b), centre in zip(self.span, self.centre, strict=True)])
         return self
 
 
-def bound(a: np.ndarray, s: float, b: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """Largest inner product between a ball around `a` and balls around the rows of `b`."""
-    norm_a, norm_b = _lengths(a[None])[0], _lengths(b)
+def _power_above(x: float) -> float:
+    """The least power of two that is at least x."""
+    part, power = math.frexp(x)
+    return math.ldexp(1.0, min(power - (part == 0.5), 1023))
+
+
+def bounds(a: np.ndarray, b: np.ndarray, t: np.ndarray, s: float = 0.0) -> np.ndarray:
+    """Largest inner products between balls of radius s around the rows of `a` and balls around those of `b`."""
+    norm_a, norm_b = _lengths(a)[:, None], _lengths(b)[None, :]
     with np.errstate(over="ignore", invalid="ignore"):
-        top = b @ a + norm_a * t + norm_b * s + s * t + 1e-9 * (norm_a + s) * (norm_b + t)
+        top = a @ b.T + norm_a * t + norm_b * s + s * t + 1e-9 * (norm_a + s) * (norm_b + t)
     return np.where(np.isnan(top), np.inf, top)  # what is too large for a float is never pruned
 
 
+def bound(a: np.ndarray, s: float, b: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """The same for one ball around `a`."""
+    return bounds(a[None], b, t, s)[0]
+
+
 def _floats(scores: np.ndarray) -> np.ndarray:
     """Scores as floats; whole numbers too large for one count as the largest that are compared."""
     return np.clip(scores, -_LARGE, _LARGE).astype(np.float64) if scores.dtype == object else scores
@@ -153,14 +263,19 @@ class Best:
         self.k, self.ids = k, ids
         self.scores = np.full((len(ids), k), -np.inf if exact else _LOWEST, dtype=np.float64 if exact else object)
         self.found = np.full((len(ids), k), _HIGHEST, dtype=np.int64)
+        self.compared = 0  # pairs multiplied
         self.floor = floor  # a score that k other rows are known to reach
 
+    def lowest(self, rows: np.ndarray) -> np.ndarray:
+        """The k-th score of each query, or what it is known to be at least."""
+        return np.maximum(_floats(self.scores[rows, -1]), self.floor[rows])
+
     def worst(self, rows: np.ndarray) -> float:
         """The worst k-th score of a group of queries."""
-        return float(np.maximum(_floats(self.scores[rows, -1]), self.floor[rows]).min())
+        return float(self.lowest(rows).min())
 
     def offer(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
-        lowest = np.maximum(_floats(self.scores[rows, -1]), self.floor[rows])
+        lowest = self.lowest(rows)
         other = self.ids[rows][:, None] != ids[None, :]
         useful = other & (_floats(scores) >= lowest[:, None])
         some = np.flatnonzero(useful.any(axis=1))
@@ -194,30 +309,39 @@ def dual_search(queries: CoverTree, data: CoverTree, data_ids: np.ndarray, best:
             opened = [c for f in frontier for c in (data.children[f] or [f])]
             waiting += [(child, np.array(opened)) for child in reversed(queries.children[node])]
             continue
-        while True:
-            # A leaf of queries: open the most promising data nodes first.
-            top = bound(queries.centre[node], queries.radius[node], data.centre[frontier], data.radius[frontier])
-            order = np.argsort(-top)
-            frontier, top = frontier[order], top[order]
-            inner = []
-            for f, high in zip(frontier.tolist(), top.tolist(), strict=True):
-                if high < best.worst(rows):
+        while len(frontier):
+            # A leaf of queries: each has its own bound, the most promising data nodes come first.
+            tops = bounds(queries.points[rows], data.centre[frontier], data.radius[frontier])
+            order = np.argsort(-tops.max(axis=0), kind="stable")
+            frontier, tops = frontier[order], tops[:, order]
+            inner, first = [], 0
+            while first < len(frontier):
+                hopeful = tops[:, first:] >= best.lowest(rows)[:, None]
+                taken, leaves, size, seen = [], [], 0, len(frontier)
+                for at in np.flatnonzero(hopeful.any(axis=0)).tolist():
+                    node_at = int(frontier[first + at])
+                    if data.children[node_at]:
+                        inner.extend(data.children[node_at])
+                        continue
+                    taken.append(at)
+                    leaves.append(data.order[data.span[node_at][0]:data.span[node_at][1]])
+                    size += len(leaves[-1])
+                    if size >= OPEN_ROWS:
+                        seen = first + at + 1
+                        break
+                if not leaves:
                     break
-                if data.children[f]:
-                    inner.extend(data.children[f])
-                    continue
-                a, b = data.span[f]
-                others = data.order[a:b]
-                left, right = queries.points[rows], data.points[others]
+                asked, others = rows[hopeful[:, taken].any(axis=1)], np.concatenate(leaves)
+                first = seen
+                left, right = queries.points[asked], data.points[others]
                 if exact:
                     scores = left @ right.T
                 else:
                     scores = np.array([[int(x) for x in row] for row in left], dtype=object) @ np.array(
                         [[int(x) for x in row] for row in right], dtype=object).T
-                best.offer(rows, scores, data_ids[others])
-            if not inner:
-                break
-            frontier = np.array(inner)
+                best.compared += len(asked) * len(others)
+                best.offer(asked, scores, data_ids[others])
+            frontier = np.array(inner, dtype=np.int64)
 
 
 def _search(queries: pa.Table, data: pa.Table, k: int, dims: int) -> pa.Table:

@@ -81,3 +81,57 @@ def test_very_wide_ranges_make_deep_trees():
     for i, found in zip(ids[::400], best.found, strict=True):
         scores = [(-int(points[i, 0]) * int(points[j, 0]), j) for j in ids if j != i]
         assert found.tolist() == [j for _, j in sorted(scores)[:3]]
+
+
+def check_levels(points):
+    """Nesting, separation and covering of every level; all rows in the leaves."""
+    tree = topk_search.CoverTree(points).finish()
+    assert sorted(tree.order.tolist()) == list(range(len(points)))
+    centres = []
+    for size, heads, parents in tree.levels:
+        if centres:
+            assert set(parents) <= set(centres)
+            away = np.sqrt(((points[heads] - points[parents]) ** 2).sum(axis=1))
+            assert away.max() <= 2 * size * (1 + 1e-6)
+        centres += heads
+        gaps = topk_search._distances(points[centres], points[centres])
+        gaps[np.arange(len(centres)), np.arange(len(centres))] = np.inf
+        assert len(set(centres)) == len(centres) and gaps.min() > size * (1 - 1e-6)
+    sizes = [size for size, _, _ in tree.levels]
+    assert sizes == sorted(sizes, reverse=True) and all(np.frexp(size)[0] == 0.5 for size in sizes)
+    for node, (start, end) in enumerate(tree.span):
+        gaps = np.sqrt(((points[tree.order[start:end]] - tree.centre[node]) ** 2).sum(axis=1))
+        assert gaps.max() <= tree.radius[node] + 1e-9
+        inner = [tree.span[child] for child in tree.children[node]]
+        assert not inner or (inner[0][0], inner[-1][1]) == (start, end)
+        assert all(a[1] == b[0] for a, b in zip(inner, inner[1:], strict=False))
+    return tree
+
+
+def test_levels_of_the_given_embeddings(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("embedding").toPandas()["embedding"]
+    points = np.floor(np.stack(rows.to_numpy()).astype(np.float64) * 1024)
+    assert len(check_levels(points).levels) > 1
+
+
+@pytest.mark.parametrize("dims", [1, 2, 5])
+def test_levels_of_clusters_and_copies(dims, monkeypatch):
+    monkeypatch.setattr(topk_search, "LEAF_ROWS", 4)
+    random = np.random.default_rng(dims)
+    points = np.floor(random.normal(size=(40, dims)) * 1000)[random.integers(0, 40, 1500)]
+    points[:700] += np.floor(random.normal(size=(700, dims)) * 3)
+    assert len(check_levels(points).levels) > 5
+
+
+def test_search_prunes_far_clusters():
+    random = np.random.default_rng(1)
+    centres = random.normal(size=(60, 8)) * 4000
+    points = np.floor(centres[random.integers(0, 60, 6000)] + random.normal(size=(6000, 8)) * 20)
+    ids = np.arange(6000)
+    asked = topk_search.CoverTree(points[::100]).finish()
+    best = topk_search.Best(ids[::100], 10, np.full(60, -np.inf), True)
+    topk_search.dual_search(asked, topk_search.CoverTree(points).finish(), ids, best)
+    scores = points[::100] @ points.T
+    scores[np.arange(60), ids[::100]] = -np.inf
+    assert (best.scores == -np.sort(-scores, axis=1)[:, :10]).all()
+    assert best.compared < 0.3 * 60 * 6000
