@@ -3,10 +3,9 @@
 Vectors are packed into 63-bit words. Short 0/1 vectors repeat a lot, so equal
 ones are compared once: of the training rows with the same bits only the k of
 the lowest ids can be neighbours, and test rows with the same bits share theirs.
-Both sides are cut into blocks by a hash of the bits; each task compares one
-block of queries with one block of training vectors in numpy and keeps only the
-k nearest per query, so no table of pairs ever exists and no task sees more
-than two blocks.
+Training vectors that fit one block are compared in numpy with each block of
+queries, and a task keeps only the k nearest per query, so no table of pairs
+ever exists. More vectors than that are met through an index (`neighbor_index`).
 """
 
 from __future__ import annotations
@@ -19,8 +18,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stage
+from .neighbor_index import WORD, nearest_by_index
 
-WORD = 63
 BLOCK_ROWS = 32_768
 CHUNK = 256
 
@@ -72,31 +71,56 @@ def _nearest_in_block(k: int):
     return nearest
 
 
+def _one_block(vectors: DataFrame, asked: DataFrame, k: int, block_rows: int) -> DataFrame:
+    """Blocks of queries, each compared with all of a few vectors."""
+    n_left = max(-(-asked.count() // block_rows), 1)
+    left = asked.select(
+        "query_id", F.col("bits").alias("query_bits"), F.pmod(F.xxhash64("bits"), F.lit(n_left)).alias("_left"))
+    right = vectors.select(
+        "neighbor_id", F.lit(0).alias("neighbor_label"), F.col("bits").alias("neighbor_bits"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_left - 1).cast("long"))).alias("_left"))
+    schema = "sample_id long, distance int, neighbor_id long, neighbor_label int"
+    return left.groupBy("_left").cogroup(right.groupBy("_left")).applyInPandas(
+        _nearest_in_block(k), schema).select(F.col("sample_id").alias("query_id"), "distance", "neighbor_id")
+
+
 def nearest_neighbors(
-    train: DataFrame, test: DataFrame, k: int, block_rows: int = BLOCK_ROWS
+    train: DataFrame, test: DataFrame, k: int, block_rows: int = BLOCK_ROWS, n_bits: int | None = None
 ) -> DataFrame:
     """The k nearest training rows of each test row, ranked from 1.
 
-    Distance is the number of differing bits; ties go to the lower id.
+    Distance is the number of differing bits, of which a vector has `n_bits`
+    (all bits of its words by default); ties go to the lower id.
     """
+    vectors, asked = _distinct(train, test, k)
+    if vectors.count() <= block_rows:
+        near = _one_block(vectors, asked, k, block_rows)
+    else:
+        n_bits = n_bits or vectors.select(F.size("bits")).first()[0] * WORD
+        near, _ = nearest_by_index(vectors, asked, k, n_bits, block_rows)
+    return _rows(near, vectors, asked, test, k)
+
+
+def indexed_neighbors(
+    train: DataFrame, test: DataFrame, k: int, n_bits: int, block_rows: int = BLOCK_ROWS
+) -> tuple[DataFrame, DataFrame]:
+    """The same rows through the index, and its report with one row per distinct test vector."""
+    vectors, asked = _distinct(train, test, k)
+    near, report = nearest_by_index(vectors, asked, k, n_bits, block_rows)
+    return _rows(near, vectors, asked, test, k), report
+
+
+def _distinct(train: DataFrame, test: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """Each vector of either side once; of the training rows that share one, the k of the lowest ids."""
     lowest = Window.partitionBy("bits").orderBy("sample_id")
     vectors = train.withColumn("_rn", F.row_number().over(lowest)).where(F.col("_rn") <= k).groupBy("bits").agg(
         F.min("sample_id").alias("neighbor_id"), F.collect_list(F.struct("sample_id", "label")).alias("members"))
     asked = test.groupBy("bits").agg(F.min("sample_id").alias("query_id"))
-    vectors, asked = stage(vectors), stage(asked)
-    n_left = max(-(-asked.count() // block_rows), 1)
-    n_right = max(-(-vectors.count() // block_rows), 1)
-    left = asked.select(
-        "query_id", F.col("bits").alias("query_bits"), F.pmod(F.xxhash64("bits"), F.lit(n_left)).alias("_left"),
-        F.explode(F.sequence(F.lit(0), F.lit(n_right - 1))).alias("_right"))
-    right = vectors.select(
-        "neighbor_id", F.lit(0).alias("neighbor_label"), F.col("bits").alias("neighbor_bits"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_left - 1).cast("long"))).alias("_left"),
-        F.pmod(F.xxhash64("bits"), F.lit(n_right)).cast("int").alias("_right"))
-    schema = "sample_id long, distance int, neighbor_id long, neighbor_label int"
-    near = left.groupBy("_left", "_right").cogroup(right.groupBy("_left", "_right")).applyInPandas(
-        _nearest_in_block(k), schema).select(F.col("sample_id").alias("query_id"), "distance", "neighbor_id")
-    # Back to rows: the members of each near vector, then every test row with the query's bits.
+    return stage(vectors), stage(asked)
+
+
+def _rows(near: DataFrame, vectors: DataFrame, asked: DataFrame, test: DataFrame, k: int) -> DataFrame:
+    """Back to rows: the members of each near vector, then every test row with the query's bits."""
     rows = near.join(vectors.select("neighbor_id", F.explode("members").alias("_m")), "neighbor_id").select(
         "query_id", "distance", F.col("_m.sample_id").alias("neighbor_id"), F.col("_m.label").alias("neighbor_label"))
     rank = Window.partitionBy("query_id").orderBy("distance", "neighbor_id")

@@ -150,6 +150,31 @@ def _neighbor_votes(s):
     return nn.vote(nn.nearest_neighbors(train, test, max(KS)), test, KS)
 
 
+cte("all_bits", ("first_fire", "alive"), """
+  SELECT a.sample_id, a.label, coalesce(bit_or(1::HUGEINT << (f.layer * 32 + f.feature_id)), 0::HUGEINT) AS bits
+  FROM alive a LEFT JOIN first_fire f USING (sample_id) GROUP BY a.sample_id, a.label""")
+cte("all_bits_near", ("all_bits", "train", "test"), """
+  SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY distance, neighbor_id)::INTEGER AS rank FROM (
+    SELECT a.sample_id, b.sample_id AS neighbor_id, b.label AS neighbor_label,
+      bit_count(xor(a.bits, b.bits))::INTEGER AS distance
+    FROM all_bits a JOIN test USING (sample_id) CROSS JOIN (
+      SELECT x.* FROM all_bits x JOIN train t ON t.sample_id = x.sample_id) b)""")
+
+
+@query("c06_indexed_neighbors", with_ctes("all_bits_near", """
+  SELECT sample_id, neighbor_id, neighbor_label, distance, rank
+  FROM all_bits_near WHERE rank <= 5"""))
+def c06_indexed(spark, sf_dir):
+    """Five neighbours by the firings of all features of all layers, through the index over parts of the bits."""
+    s = Study(spark, sf_dir)
+    codes = s.first.withColumn("feature_id", F.col("layer") * fx.D_SAE + F.col("feature_id"))
+    n_bits = fx.N_LAYERS * fx.D_SAE
+    bits = stage(nn.packed_vectors(codes, s.alive, range(n_bits)))
+    train, test = stage(s.part(bits, "train")), stage(s.part(bits, "test"))
+    near, _ = nn.indexed_neighbors(train, test, 5, n_bits)
+    return near
+
+
 @query("s03_feature_columns", with_ctes("picks alive", """
   SELECT s.sample_id, s.label, """ + ", ".join(
     f"coalesce(max(CASE WHEN p.rank = {i} THEN 1.0 END), 0.0)::FLOAT AS f{i}" for i in range(1, 5)) + """
