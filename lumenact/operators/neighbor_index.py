@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 from ..session import stage
 
 WORD = 63
-CHUNK = 256
+PAIRS = 1 << 18  # comparisons made at once; one query adds at most a block of rows
 FAR = 1 << 20  # more bits than any vector has
+NONE = -1
 FOUND = "query_id long, distance int, neighbor_id long, compared long"
 
 
@@ -66,36 +67,41 @@ def _meet(k: int):
     """The k nearest vectors of each query among those with its part value."""
 
     def meet(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        parts = [pd.DataFrame({"query_id": [], "distance": [], "neighbor_id": [], "compared": []})]
-        by_value = rows.groupby(["part", "value"], sort=False).indices
-        for key, at in (queries.groupby(["part", "value"], sort=False).indices.items() if len(rows) else ()):
-            if key not in by_value:
-                continue
-            some = rows.iloc[by_value[key]].sort_values(["ones", "neighbor_id"])
-            bits, ones, ids = np.stack(some["bits"].to_numpy()), some["ones"].to_numpy(), some["neighbor_id"].to_numpy()
-            asked = queries.iloc[at].sort_values("ones")
-            for start in range(0, len(asked), CHUNK):
-                part = asked.iloc[start:start + CHUNK]
-                low = np.searchsorted(ones, (part["ones"] - part["worst"]).min())
-                high = np.searchsorted(ones, (part["ones"] + part["worst"]).max(), side="right")
-                if high <= low:
-                    continue
-                left = np.stack(part["bits"].to_numpy())
-                distance = np.zeros((len(part), high - low), dtype=np.int64)
-                for word in range(left.shape[1]):
-                    distance += np.bitwise_count(left[:, word, None] ^ bits[None, low:high, word])
-                keep = min(k, high - low)
-                by_id = np.argsort(ids[low:high])
-                order = distance[:, by_id] * (high - low) + np.arange(high - low)
-                best = by_id[np.argpartition(order, keep - 1, axis=1)[:, :keep]]
-                near = distance[np.arange(len(part))[:, None], best]
-                compared = np.zeros(near.shape, dtype=np.int64)
-                compared[:, 0] = high - low
-                # The first row stays whatever its distance: it carries the count.
-                useful = (near <= part["worst"].to_numpy()[:, None]) | (compared > 0)
-                parts.append(pd.DataFrame({
-                    "query_id": np.repeat(part["query_id"].to_numpy(), keep)[useful.ravel()],
-                    "distance": near[useful], "neighbor_id": ids[low:high][best][useful], "compared": compared[useful]}))
+        if queries.empty or rows.empty:
+            return pd.DataFrame(columns=["query_id", "distance", "neighbor_id", "compared"])
+        # A place of a row: its value, then its number of ones.
+        values = pd.MultiIndex.from_frame(rows[["part", "value"]].drop_duplicates())
+        place = values.get_indexer(pd.MultiIndex.from_frame(rows[["part", "value"]])) * FAR + rows["ones"].to_numpy()
+        order = np.argsort(place, kind="stable")
+        place, ids = place[order], rows["neighbor_id"].to_numpy()[order]
+        bits = np.stack(rows["bits"].to_numpy())[order]
+        at = values.get_indexer(pd.MultiIndex.from_frame(queries[["part", "value"]]))
+        asked, query_bits = queries["query_id"].to_numpy(), np.stack(queries["bits"].to_numpy())
+        ones, worst = queries["ones"].to_numpy().astype(np.int64), queries["worst"].to_numpy().astype(np.int64)
+        low = np.searchsorted(place, at * FAR + np.maximum(ones - worst, 0))
+        high = np.searchsorted(place, at * FAR + np.minimum(ones + worst, FAR - 1), side="right")
+        size = np.where(at >= 0, high - low, 0)
+        # Queries in runs with about PAIRS comparisons.
+        runs = np.flatnonzero(np.diff(np.cumsum(size) // PAIRS, prepend=-1))
+        parts = []
+        for first, last in zip(runs, [*runs[1:], len(size)], strict=True):
+            run = size[first:last]
+            query = first + np.repeat(np.arange(len(run)), run)
+            row = np.arange(len(query)) + np.repeat(low[first:last] - np.cumsum(run) + run, run)
+            distance = np.bitwise_count(query_bits[query] ^ bits[row]).sum(axis=1, dtype=np.int64)
+            near = np.flatnonzero(distance <= worst[query])
+            near = near[np.lexsort((ids[row[near]], distance[near], asked[query[near]]))]
+            # A vector met through several values counts once.
+            again = (np.diff(asked[query[near]]) == 0) & (np.diff(ids[row[near]]) == 0)
+            near = near[np.append(True, ~again)[:len(near)]]
+            owner = asked[query[near]]
+            new = np.flatnonzero(np.diff(owner, prepend=owner[:1] - 1))
+            rank = np.arange(len(owner)) - np.repeat(new, np.diff(np.append(new, len(owner))))
+            near = near[rank < k]
+            parts.append(pd.DataFrame({
+                "query_id": asked[query[near]], "distance": distance[near], "neighbor_id": ids[row[near]], "compared": 0}))
+        # A row without a distance carries the number of comparisons.
+        parts.append(pd.DataFrame({"query_id": asked, "distance": NONE, "neighbor_id": 0, "compared": size})[size > 0])
         return pd.concat(parts).astype("int64")
 
     return meet
@@ -165,7 +171,7 @@ def nearest_by_index(
         found = stage(found)
         met.append(found.groupBy("query_id").agg(F.sum("compared").alias("compared")).withColumn("round", F.lit(s)))
         # A vector met again, through another part or round, is one row.
-        best = stage(best.unionByName(found).groupBy("query_id", "neighbor_id").agg(
+        best = stage(best.unionByName(found.where(F.col("distance") != NONE)).groupBy("query_id", "neighbor_id").agg(
             F.min("distance").alias("distance")).withColumn(
             "_r", F.row_number().over(nearest)).where(F.col("_r") <= k).drop("_r").withColumn(
             "compared", F.lit(0).cast("long")))
