@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..session import shared_dir
 
@@ -38,16 +39,31 @@ def drain_append(stream: DataFrame) -> DataFrame:
 
 
 def drain_complete(stream: DataFrame) -> DataFrame:
-    """Process all input there is, each time replacing the result table."""
+    """Process all input there is, each time replacing the result table.
+
+    An epoch that runs again after a failure writes its own folder again. The
+    result is the newest epoch that the stream's checkpoint has committed; a
+    stream without input gives no rows.
+    """
     spark = stream.sparkSession
     folder = _folder(spark)
 
     def replace(rows: DataFrame, epoch: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{folder}/out-{epoch}")
-        last["epoch"] = epoch
+        rows.write.mode("overwrite").parquet(f"{folder}/out/epoch={epoch}")
 
-    last: dict[str, int] = {}
     (stream.writeStream.outputMode("complete").foreachBatch(replace)
      .option("checkpointLocation", f"{folder}/state")
      .trigger(availableNow=True).start().awaitTermination())
-    return spark.read.schema(stream.schema).parquet(f"{folder}/out-{last['epoch']}")
+    return newest_epoch(spark, folder, stream.schema)
+
+
+def newest_epoch(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
+    """The table that the last committed epoch of a stream has left in `folder`."""
+    jvm = spark.sparkContext._jvm
+    commits = jvm.org.apache.hadoop.fs.Path(f"{folder}/state/commits")
+    files = commits.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in files.listStatus(commits)] if files.exists(commits) else []
+    epochs = [int(name) for name in names if name.isdigit()]
+    if not epochs:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{folder}/out/epoch={max(epochs)}")

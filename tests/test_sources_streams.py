@@ -122,6 +122,21 @@ def test_stream_totals_follow_several_files(spark, tmp_path):
         ("status", "ok"): 3, ("status", "bad_item"): 3, ("ok_by_subtopic", "a"): 3}
 
 
+def test_totals_without_input_and_of_the_committed_epoch(spark, tmp_path):
+    empty = tmp_path / "none"
+    empty.mkdir()
+    stream = spark.readStream.schema("_status string, subtopic string").json(str(empty))
+    assert run.drain_complete(run.running_totals(stream)).count() == 0
+    # Epoch 2 was written but not committed: epoch 1 is the result, as after a restart.
+    folder = str(tmp_path / "s")
+    (tmp_path / "s" / "state" / "commits").mkdir(parents=True)
+    for epoch in range(3):
+        spark.range(epoch + 1).write.parquet(f"{folder}/out/epoch={epoch}")
+        if epoch < 2:
+            (tmp_path / "s" / "state" / "commits" / str(epoch)).write_text("v1")
+    assert run.newest_epoch(spark, folder, spark.range(1).schema).count() == 2
+
+
 @pytest.mark.parametrize("block_rows", [7, 1000])
 def test_neighbors_equal_brute_force(spark, block_rows):
     rng = random.Random(4)
