@@ -32,6 +32,40 @@ def st01(spark, sf_dir):
     return run.drain_append(gr.track_first_fire(_steps(spark, sf_dir)))
 
 
+FILES, AGAIN = 4, 2
+
+
+def _steps_in_batches(spark, steps):
+    """A stream of steps in several micro-batches.
+
+    Steps of a sample are dealt over FILES files by a hash, so they come out of
+    order, and all steps are sent a second time in AGAIN files.
+    """
+    folder = run.new_folder(spark)
+    for files in (FILES, AGAIN):
+        steps.repartition(files, "sample_id", "layer", "step").write.mode("append").parquet(folder)
+    return spark.readStream.schema(steps.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+@query("st01_stream_many_batches", with_ctes("first_fire", "SELECT * FROM first_fire"))
+def st01_batches(spark, sf_dir):
+    """First firings from steps out of order and sent twice, over six micro-batches."""
+    steps = encoded(spark, fx.activations(spark, sf_dir), carry=CARRY)
+    return run.drain_append(gr.track_first_fire(_steps_in_batches(spark, steps)))
+
+
+@query("st02_stream_many_batches", with_ctes("stops", """
+  SELECT sample_id, label, tokens, pred, tokens < 8 AS early FROM stops WHERE target = 0.3::DOUBLE"""))
+def st02_batches(spark, sf_dir):
+    """Decisions of the guardrail from steps out of order and sent twice."""
+    s = Study(spark, sf_dir)
+    steps = encoded(spark, fx.activations(spark, sf_dir), carry=CARRY)
+    steps = s.part(steps.where(F.col("layer") == s.layer), "test")
+    decisions = gr.guard(
+        _steps_in_batches(spark, steps), gr.collect_weights(s.weights, K), s.classes, TARGET, MIN_STEPS, fx.MAX_STEPS)
+    return run.drain_append(decisions).drop("confidence")
+
+
 @query("st02_stream_guardrail", with_ctes("stops", """
   SELECT sample_id, label, tokens, pred, tokens < 8 AS early FROM stops WHERE target = 0.3::DOUBLE"""))
 def st02(spark, sf_dir):

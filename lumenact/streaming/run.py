@@ -24,14 +24,15 @@ def totals_summary(totals: DataFrame) -> DataFrame:
     return status.unionByName(ok)
 
 
-def _folder(spark: SparkSession) -> str:
+def new_folder(spark: SparkSession) -> str:
+    """A folder of its own in the shared one."""
     return f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 def drain_append(stream: DataFrame) -> DataFrame:
     """Process all input there is, append the output to a table, and read it."""
     spark = stream.sparkSession
-    folder = _folder(spark)
+    folder = new_folder(spark)
     (stream.writeStream.format("parquet").outputMode("append")
      .option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
      .trigger(availableNow=True).start().awaitTermination())
@@ -46,7 +47,7 @@ def drain_complete(stream: DataFrame) -> DataFrame:
     stream without input gives no rows.
     """
     spark = stream.sparkSession
-    folder = _folder(spark)
+    folder = new_folder(spark)
 
     def replace(rows: DataFrame, epoch: int) -> None:
         rows.write.mode("overwrite").parquet(f"{folder}/out/epoch={epoch}")
