@@ -109,8 +109,10 @@ def run_fits(train: DataFrame, test: DataFrame, fits: Sequence[Fit], keys: Seque
     kinds = dict(train.dtypes)
     schema = "config string, part int, x array<double>, n array<bigint>, scores array<double>, facts map<string,double>"
     schema += "".join(f", {key} {kinds[key]}" for key in keys)
+    # A hash would put several fits into one task and leave others without any.
     slots = max(train.sparkSession.sparkContext.defaultParallelism, len(fits))
-    return wanted.repartition(slots, "_fit", *keys).groupBy("_fit", *keys).applyInArrow(_task(fits, names), schema)
+    dealt = wanted.repartition(slots, "_fit", *keys) if keys else wanted.repartitionById(slots, F.col("_fit"))
+    return dealt.groupBy("_fit", *keys).applyInArrow(_task(fits, names), schema)
 
 
 def facts(results: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
