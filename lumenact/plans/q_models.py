@@ -338,8 +338,10 @@ def c11_logistic(spark, sf_dir):
 
 
 def _layout_fits():
+    """All layouts and seeds, those that take longest first."""
+    layouts = sorted(est.LAYOUTS, key=lambda h: -est.parameter_count(K, 0, h))
     return [pat.Fit(f"{est.layout_name(h)} seed {seed}", sol.network, {"hidden": h, "seed": seed, "epochs": LAYOUT_STEPS})
-            for h in est.LAYOUTS for seed in est.LAYOUT_SEEDS]
+            for h in layouts for seed in est.LAYOUT_SEEDS]
 
 
 @query("c12_layout_sweep")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lumenact.operators import patterns as pat
 from lumenact.operators import solvers as sol
+from lumenact.plans import q_models
 
 
 def test_each_fit_is_a_task_of_its_own(spark):
@@ -60,3 +61,8 @@ def test_moments_of_silent_units_end_at_zero():
     for step in range(1, 9000):
         sol._update(values, grads, moments, squares, step, 1e-3, 0.0, np.empty(2))
     assert moments[0] == 0 and moments[1] > 0 and squares[0] > 1e-12
+
+
+def test_the_longest_networks_start_first():
+    widths = [f.params["hidden"] for f in q_models._layout_fits()]
+    assert len(widths) == 70 and widths[:5] == [(512, 256)] * 5 and widths[-5:] == [()] * 5
