@@ -45,10 +45,11 @@ def seeded_sample(
 def _cut(
     df: DataFrame, cuts: DataFrame, groups: Sequence[str], id_col: str, seed: int | Column
 ) -> DataFrame:
+    """Rows with `_inside`. The cuts, one row a group, go to the rows: by group, a topic would meet in one task."""
     names = df.columns
     limits = cuts.select(*groups, "cut_key", "cut_id")
     if groups:
-        joined = match(df, limits, list(groups), "left")
+        joined = match(df, F.broadcast(limits), list(groups), "left")
     else:
         joined = df.withColumn("_one", F.lit(1)).join(
             F.broadcast(limits.withColumn("_one", F.lit(1))), "_one", "left")
@@ -131,7 +132,7 @@ def stratified_split(
 def labeled_set(df: DataFrame, topics: DataFrame, topic: str = "topic") -> DataFrame:
     """Attach the class id of each row's topic; a null topic has a class like any other."""
     dictionary = topics.select(F.col("topic").alias(topic), "label")
-    return match(df, dictionary, [topic])
+    return match(df, F.broadcast(dictionary), [topic])
 
 
 def drop_dead(samples: DataFrame, activations: DataFrame, layer: int) -> DataFrame:
@@ -157,7 +158,7 @@ def sample_stats(samples: DataFrame, activations: DataFrame, topics: DataFrame,
     words = normalize_space(F.col("prompt"))
     return (
         samples.join(steps, "sample_id", "left")
-        .join(topics, "label")
+        .join(F.broadcast(topics), "label")
         .select(
             "sample_id", "label", "topic",
             F.length("prompt").alias("char_len"),
