@@ -150,8 +150,12 @@ def run_sweep(
     """Fit and score every configuration: one result row each.
 
     The fits share the two vector tables, and a few of them run at a time so
-    that small fits do not leave the cluster idle.
+    that small fits do not leave the cluster idle. In every iteration each
+    partition sends its sum of gradients, as large as the model, so there are no
+    more partitions than cores, however many rows.
     """
+    cores = train.sparkSession.sparkContext.defaultParallelism
+    train, test = train.coalesce(cores), test.coalesce(cores)
     with ThreadPoolExecutor(threads) as pool:
         # Every fit gets a thread target of its own, which copies the caller's job properties.
         fits = [pool.submit(inheritable_thread_target(train.sparkSession)(lambda c=c: (dataset, *_one(c, train, test))))
