@@ -40,10 +40,10 @@ from .tables import per_process, shared_table
 from .text_hash import filled, slices, text_bytes
 
 CHUNK_BYTES = 8 << 20
-ENCODE_BYTES = 4 << 20
+ENCODE_BYTES = 1 << 20
 ALIGN_BYTES = 1 << 19
-CACHE_UNITS = 600_000
-CACHE_BYTES = 4 << 20
+CACHE_UNITS = 300_000
+CACHE_BYTES = 2 << 20
 _LONGEST_CACHED = 64
 _SPACE = "▁"
 #: A place no token covers, in a vocabulary without such a piece: a space after a visible character.

@@ -81,3 +81,11 @@ def test_null_and_repeated_ids(spark):
     rows = token_align.align(df, *PATHS).collect()
     assert sorted((r["doc_id"] or 0, r["n_links"], r["n_best"], r["count_sum"]) for r in rows) == [
         (0, 2, 2, 6), (3, 2, 2, 6), (3, 2, 2, 6)]
+
+
+def test_units_kept_by_a_worker_are_bounded():
+    aligner = token_align.Aligner(*PATHS)
+    for start in range(0, 400_000, 100_000):
+        aligner.encode([" ".join(f"n{i}" for i in range(start, start + 100_000))])
+        assert len(aligner.known) <= 300_000
+        assert sum(ids.nbytes for ids in aligner.ids) + aligner.known.nbytes < 24 << 20
