@@ -97,3 +97,41 @@ def test_empty_table(spark):
     assert suffix_dedup.without_repeats(df).collect() == []
     with pytest.raises(ValueError):
         suffix_dedup.repeated_spans(df, 10)
+
+
+def rows_made(spark, monkeypatch, texts, size):
+    """(distinct records, rows that their comparison made); the result is checked against all windows."""
+    kept = []
+
+    def tap(df, label, write=suffix_dedup.shared_table):
+        kept.append((label, write(df, label)))
+        return kept[-1][1]
+
+    with monkeypatch.context() as patch:
+        patch.setattr(suffix_dedup, "shared_table", tap)
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        got = sorted(tuple(r) for r in suffix_dedup.without_repeats(df, size).collect())
+    assert [(r[0], *r[1:4], bytes(r[4])) for r in got] == [(i, *row) for i, row in enumerate(expected(texts, size))]
+    records = sum(t.select("c1", "c2").distinct().count() for label, t in kept if label == "suffixes")
+    return records, sum(t.count() for label, t in kept if label in ("matches", "windows"))
+
+
+@pytest.mark.parametrize("bucket", [20_000, 200_000])
+def test_rows_made_follow_distinct_records(spark, monkeypatch, bucket):
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", bucket)
+    rng = np.random.default_rng(8)
+
+    def letters(n):
+        return "".join(rng.choice(list("abcdefghijklmnop "), n))
+
+    passage, other = letters(900), letters(700)
+
+    def copies(n):  # of one passage, and copies of another that differ in a letter
+        at = rng.integers(0, len(other), n)
+        return [letters(20) + passage + letters(20) for _ in range(n)] + [other[:i] + "#" + letters(3) + other[i:] for i in at]
+
+    few, some = rows_made(spark, monkeypatch, copies(60), 400)
+    more, many = rows_made(spark, monkeypatch, copies(180), 400)
+    per_record = 3 if bucket > 180 * 600 else 20
+    assert some <= per_record * few and many <= per_record * more
+    assert many / more <= 1.3 * some / few
