@@ -88,7 +88,7 @@ def _binary(rows: np.ndarray) -> pa.Array:
 def _profile(batches: Iterator[pa.RecordBatch], size: int, trees: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = text_hash.filled(batch.column("text"))
-        for start, end in text_hash.slices(texts):
+        for start, end in text_hash.slices(texts, text_hash.SMALL_SLICE_BYTES):
             sets = text_hash.shingle_sets(texts.slice(start, end - start), size)
             marks, roots = signatures(sets, trees)
             yield pa.RecordBatch.from_arrays([
@@ -282,7 +282,7 @@ def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
 def _full_sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = text_hash.filled(batch.column("text"))
-        for start, end in text_hash.slices(texts):
+        for start, end in text_hash.slices(texts, text_hash.SMALL_SLICE_BYTES):
             sets = text_hash.shingle_sets(texts.slice(start, end - start), size)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id").slice(start, end - start), *_identity(sets),

@@ -64,7 +64,7 @@ def term_counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
 def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = text_hash.filled(batch.column("text"))
-        for start, end in text_hash.slices(texts):
+        for start, end in text_hash.slices(texts, text_hash.SMALL_SLICE_BYTES):
             docs, hashes, _, _ = term_counts(texts.slice(start, end - start))
             toxic = batch.column("label").slice(start, end - start).to_numpy() > 0
             yield pa.RecordBatch.from_arrays(
@@ -75,7 +75,7 @@ def _feature_rows(batches: Iterator[pa.RecordBatch], keys: np.ndarray) -> Iterat
     lookup = Lookup(keys)
     for batch in batches:
         texts = text_hash.filled(batch.column("text"))
-        for start, end in text_hash.slices(texts):
+        for start, end in text_hash.slices(texts, text_hash.SMALL_SLICE_BYTES):
             docs, hashes, counts, lengths = term_counts(texts.slice(start, end - start))
             rows, features = lookup.find(hashes)
             first = np.searchsorted(docs[rows], np.arange(end - start + 1)).astype(np.int32)
@@ -176,7 +176,7 @@ def _score(batches: Iterator[pa.RecordBatch], model: OrdinalModel) -> Iterator[p
     lookup = Lookup(model.keys)
     for batch in batches:
         texts = text_hash.filled(batch.column("text"))
-        for start, end in text_hash.slices(texts):
+        for start, end in text_hash.slices(texts, text_hash.SMALL_SLICE_BYTES):
             n = end - start
             found = text_hash.words(texts.slice(start, n), between=text_hash.PUNCTUATED)
             width = max(len(model.keys), 1)
